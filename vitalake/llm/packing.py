@@ -98,7 +98,7 @@ def pack(
     per = np.array([r[3] for r in rows], np.int64)
     where = (sizes_ << 44) + first
     containers = 0
-    for (s, f, b, p), (s2, f2, _, _) in zip(rows, [*rows[1:], (0, 0, 0, 0)], strict=True):
+    for (s, f, b, p), (s2, f2, _, _) in zip(rows, [*rows[1:], (0, 0, 0, 0)], strict=False):
         containers = max(containers, b + ((f2 if s2 == s else counts[s]) - f) // p)
     groups = max(1, -(-containers // step))
     tier_of = np.array(sorted({min(t, capacity) for t in tiers} | {capacity}), np.int64)
@@ -111,7 +111,7 @@ def pack(
             s = b["s"].to_numpy(zero_copy_only=False).astype(np.int64)
             r = b["r"].to_numpy(zero_copy_only=False).astype(np.int64) - 1
             at = np.zeros(len(s), np.int64)
-            some = s > 0
+            some = s > 0  # the rest takes no room
             if some.any():
                 i = np.searchsorted(where, (s[some] << 44) + r[some], side="right") - 1
                 at[some] = base[i] + (r[some] - first[i]) // per[i]
