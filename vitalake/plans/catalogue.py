@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalake.plans import data_problems, data_problems_sql
+from vitalake.plans import cohort_queries, data_problems, data_problems_sql, evaluation_queries
 
-QUERIES = {**data_problems.QUERIES}
-ORACLE_SQL = {**data_problems_sql.ORACLE_SQL}
+QUERIES = {**data_problems.QUERIES, **cohort_queries.QUERIES, **evaluation_queries.QUERIES}
+ORACLE_SQL = {**data_problems_sql.ORACLE_SQL, **cohort_queries.ORACLE_SQL, **evaluation_queries.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return data_problems.p4_found(spark, folder)
+    return cohort_queries.next_label_prevalence(spark, folder)
