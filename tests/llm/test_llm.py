@@ -28,6 +28,7 @@ FULL = "Prediction: No\nProbability: 0.2\nReasoning: Nothing in the record point
         (ASK, "I'm sorry, but I can't give a prediction.", ["refusal"]),
         (ASK, "Prediction: As a language model, I must decline.", ["refusal"]),
         (ASK, "Lo siento, pero no puedo responder.", ["refusal"]),
+        (ASK, "Prediction: No prediction can be offered here.", ["refusal"]),
         (ASK, ASK, ["copy"]),
         (ASK, ASK.upper(), ["copy"]),
         (ASK, "- Diagnoses noted: gout; asthma\n- Drugs given: aspirin", ["copy"]),
@@ -83,12 +84,14 @@ def test_single_byte():
     bad = "Пульс в минуту, давление высокое".encode("cp1251").decode("koi8_r")
     assert mojibake.restore(bad)[0] == "Пульс в минуту, давление высокое"
     assert mojibake.restore("AVALIA��O")[1] == ["lost"]
+    assert mojibake.restore("DÈj‡ vu, 7 ◊ 2 cm")[0] == "Déjà vu, 7 × 2 cm"
+    assert mojibake.restore("ÒÅ×ÅÍÈÅ:\nПульс в норме")[0] == "ТЕЧЕНИЕ:\nПульс в норме"
 
 
 @pytest.mark.parametrize(
     "text",
     [None, "", "  ", "plain", "AVALIAÇÃO: NÃO há", "Пульс 80 в минуту, всё хорошо", "ЛЁГКИЕ БЕЗ ХРИПОВ", "诊断: 未见", "x ≥ 5 ± 2 → ✓ ☐ ③ 😀",
-     "Déjà vu", "naïve “quoted” l’été", "zażółć gęślą jaźń", "À l'entrée; Ménière", "5 µg/kg, 37 °C, 7 × 9 cm", "«Пульс» – 80"],
+     "Déjà vu", "naïve “quoted” l’été", "zażółć gęślą jaźń", "À l'entrée; Ménière", "5 µg/kg, 37 °C, 7 × 9 cm", "«Пульс» – 80", "TNFα, 5 Ω, Straße, el país así", "Où est-il ? L’Étude", "¿Señal? Sí, 5 ó 6"],
 )
 def test_correct_text_is_left(text):
     assert mojibake.restore(text) == (text, [])

@@ -95,6 +95,7 @@ def _unwrap(text: str) -> tuple[str, str | None]:
     return (best[1], best[2]) if best else (text, None)
 
 
+_SHARP_S = re.compile("(?<=[a-zà-ÿ])ß(?=[a-zà-ÿ])")
 _L = "A-Za-zÀ-ÖØ-öø-ſ"
 #: Signs that don't stand between two Latin letters, letters of other scripts among Latin
 #: ones, accented capitals among small letters, and lone signs of boxes.
@@ -104,6 +105,11 @@ _ODD = re.compile(
     "|(?<![─-▟])[═-▟](?![─-▟])"
     r"|(?<!\w)ì[^\s]*[^\W\d_]î(?!\w)"
     r"|(?<=\d )∞C\b|(?<=[A-Z])…(?=[A-Z])"
+    # Signs of cp1252 as mac_roman, cp437 or cp850 has them: quotes, dashes, apostrophes, a half, times, euro.
+    "|(?<=[A-Z])[À-ÖØ-Þ](?=[a-z])|(?<=[a-z])[ΓΣΘΩΦδφεπστ]"
+    r"|(?<=\d )◊(?= \d)|(?<=[A-Za-z] )Ω(?= [A-Za-z])|(?<=\d )[ÇÄ](?= )|(?<= )[ûùñ](?= )"
+    r"|(?<=\d)[îö](?=\s)|(?<!\w)ô[^\s]*[^\W\d_]ö(?!\w)"
+    r"|(?<=n)ít\b|(?<=o)íd\b|(?<=[a-z])í(?:ll|re|ve)\b"
 )
 _LATIN_WORD = re.compile(rf"[\W\d_]*[{_L}µªº]+(?:[\W\d_]+[{_L}µªº]+)*[\W\d_]*|[\W\d_]*[µ°×½¼¾±–—…•”“’‘€™®©]\w*[\W\d_]*")
 _TOKEN = re.compile(r"[^\s]+")
@@ -114,17 +120,19 @@ _RIGHT = set("≥≤→←✓☐≠≈…–—“”‘’€°±µ½×²³")
 
 def _latin(text: str) -> tuple[str, tuple[str, str] | None]:
     """Latin text of one single-byte encoding that was taken for another, read anew."""
-    if not _ODD.search(text):
+    marked = _SHARP_S.search(text) and language(text) in ("en", "fr", "es", "pt", "pl")
+    if not marked and not _ODD.search(text):
         return text, None
-    odd = [w for w in _TOKEN.findall(text) if _ODD.search(w)]
-    odd = odd or ["∞C"]
+    # Signs whose neighbours tell are judged with them, the rest within its word.
+    odd = [w for w in _TOKEN.findall(text) if _ODD.search(w) or (marked and _SHARP_S.search(w))]
+    odd = odd or [m.group() for m in _ODD.finditer(text)]
     polish = language(text) == "pl"
     best, score = None, 0.0
     for pair in LATIN_PAIRS:
         good = 0.0
         for w in odd:
             new = _swap(w, *pair)
-            if new != w and not _ODD.search(new) and _LATIN_WORD.fullmatch(new):
+            if new != w and not _ODD.search(new) and (_LATIN_WORD.fullmatch(new) or set(new) <= _USUAL):
                 changed = [c for a, c in zip(w, new, strict=False) if a != c]
                 good += sum(c.lower() in _LETTERS[polish] or c in _USUAL for c in changed) / len(changed)
         if good > score and good >= 0.5 * len(odd):
@@ -140,7 +148,10 @@ def _latin(text: str) -> tuple[str, tuple[str, str] | None]:
             return w
         return new if all(c.isalpha() or c in _USUAL or ord(c) < 128 for c in new) else w
 
-    return "\n".join(_TOKEN.sub(fix, x) if _ODD.search(x) else x for x in text.split("\n")), best
+    def wrong(line: str) -> bool:
+        return bool(_ODD.search(line) or (marked and _SHARP_S.search(line)))
+
+    return "\n".join(_TOKEN.sub(fix, x) if wrong(x) else x for x in text.split("\n")), best
 
 
 #: Letters with marks of the languages of Western Europe, and of Polish; fixed values.
@@ -148,7 +159,7 @@ _LETTERS = {False: set("àáâãäåæçèéêëìíîïñòóôõöùúûüßœ
 _FOREIGN = re.compile(r"[\x80-\u25ff]{4}")
 _SENTENCE = re.compile(r"[^\n.!?]+[.!?]*")
 #: Mean log frequency of letters from which a text passes for Russian, and by which it must gain.
-RUSSIAN_ENOUGH, RUSSIAN_GAIN, RUSSIAN_LETTERS = -3.45, 0.45, 8
+RUSSIAN_ENOUGH, RUSSIAN_GAIN, RUSSIAN_LETTERS = -3.45, 0.45, 6
 
 
 def _cyrillic(text: str) -> tuple[str, tuple[str, str] | None]:
@@ -166,7 +177,7 @@ def _cyrillic(text: str) -> tuple[str, tuple[str, str] | None]:
         now = russian_likeness(s)
         if now > RUSSIAN_ENOUGH:
             return s
-        best, top = None, max(now + RUSSIAN_GAIN, RUSSIAN_ENOUGH)
+        best, top = None, max(now + (RUSSIAN_GAIN if len(letters) > 7 else 1.5), RUSSIAN_ENOUGH)
         for pair in CYRILLIC_PAIRS:
             new = _swap(s, *pair)
             kept = sum(c.isalpha() for c in new) >= 0.9 * len(letters)

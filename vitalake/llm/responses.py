@@ -49,7 +49,7 @@ REFUSALS = [
     r"\b(?:guidelines|policy|policies|rules|instructions) (?:keep|prevent|prohibit|don't allow|do not allow|forbid|stop|bar)\b",
     r"\bfalls outside\b|\boutside (?:of )?(?:what i|my)\b",
     r"\b(?:that|this) is not something (?:i|we)\b",
-    r"\bno prediction can\b",
+    r"\bno prediction (?:can|could|will|is)\b",
     r"^\W*(?:\w+ ?: ?)?(?:thank you[^.]{0,40}\. )?(?:sorry|unfortunately)\b",
     r"\bthis assistant\b|\bnot a (?:question|request|task) (?:i|this|that)\b",
     r"\bforecasting a person's\b",
@@ -172,6 +172,8 @@ def defects(prompt: str | None, text: str | None) -> list[str]:
     wanted, labels = asked(prompt)
     firsts = [b for x, b in labelled if any(i == 0 for _, i in _LABEL_LANGUAGES[x])]
     answer = _answer_word(firsts[0]) if firsts else (_answer_word(seen) if not labelled else None)
+    if labelled and firsts and len(firsts[0].split()) > 2 and _REFUSAL.search(firsts[0].replace("’", "'")):
+        answer = None  # "No prediction can be offered" is no answer
     out = []
     plain_prompt = f" {_plain(prompt)} "
     if answer is None and not labels and any(_plain(x) in _ANSWER_LANGUAGES for x in seen.split("\n")):
