@@ -35,14 +35,14 @@ class Chain:
         return full
 
 
-def _solve(gram: np.ndarray, j: int) -> tuple[np.ndarray, float]:
-    """Ridge regression of field ``j`` on the others, from the moments of its observed rows."""
+def _solve(gram: np.ndarray, j: int, groups: list[object]) -> tuple[np.ndarray, float]:
+    """Ridge regression of field ``j`` on those of other groups, from the moments of its observed rows."""
     k = gram.shape[0] - 1
     beta = np.zeros(k + 1)
     n = gram[0, 0]
     if n < 2:
         return beta, 0.0
-    use = [0, *(i + 1 for i in range(k) if i != j)]
+    use = [0, *(i + 1 for i in range(k) if groups[i] != groups[j])]
     a, b = gram[np.ix_(use, use)].copy(), gram[use, j + 1]
     a[np.arange(1, len(use)), np.arange(1, len(use))] += RIDGE * n
     got = np.linalg.solve(a + 1e-9 * np.eye(len(use)), b)
@@ -51,15 +51,17 @@ def _solve(gram: np.ndarray, j: int) -> tuple[np.ndarray, float]:
     return beta, float(np.sqrt(max(left, 0.0) / n))
 
 
-def fit_chain(df: DataFrame, fields: list[str], rounds: int = ROUNDS) -> Chain:
+def fit_chain(df: DataFrame, fields: list[str], rounds: int = ROUNDS, groups: list[object] | None = None) -> Chain:
     """Fit the equations over all rows of ``df``, one pass over it a round.
 
     Each task adds up, for every field, the moments of the rows in which that field
     is observed, with the other fields as filled so far; their sums, ``len(fields)``
     squares of that many numbers, make the regressions of the round. Within a row,
-    fields are then filled in order, each from those filled before it.
+    fields are then filled in order, each from those filled before it. Fields of one of
+    ``groups`` (the indicators of a category) don't predict each other.
     """
     k = len(fields)
+    groups = groups or list(range(k))
     chain = Chain(np.zeros(k), [], np.zeros(k))
     table = df.select(*[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(fields)])
     size = k * (k + 1) * (k + 1)
@@ -86,7 +88,7 @@ def fit_chain(df: DataFrame, fields: list[str], rounds: int = ROUNDS) -> Chain:
         gram = np.zeros(size)
         for i, v in sums:
             gram[i] = v
-        solved = [_solve(g, j) for j, g in enumerate(gram.reshape(k, k + 1, k + 1))]
+        solved = [_solve(g, j, groups) for j, g in enumerate(gram.reshape(k, k + 1, k + 1))]
         chain = Chain(chain.start, [*chain.rounds, np.array([b for b, _ in solved])], np.array([s for _, s in solved]))
     return chain
 
@@ -130,13 +132,15 @@ def impute_chained(
     sd = {c: scale[f"s{i}"] or 1.0 for i, c in enumerate(numeric)}
     fields = [((number[c] - mean[c]) / sd[c]).alias(f"n_{c}") for c in known]
     names = [f"n_{c}" for c in known]
+    groups: list[object] = [("n", c) for c in known]
     for c, values in categorical.items():
         for i, v in enumerate(values):
             fields.append(F.when(F.col(c).isNotNull(), (F.col(c) == v).cast("double")).alias(f"c{i}_{c}"))
             names.append(f"c{i}_{c}")
+            groups.append(("c", c))
     if not names:
         return df.withColumns({f"{c}_filled": F.lit(False) for c in [*numeric, *categorical]})
-    chain = fit_chain(df.select(*fields), names, rounds)
+    chain = fit_chain(df.select(*fields), names, rounds, groups)
 
     @F.pandas_udf("array<double>")
     def predicted(x):  # noqa: ANN001, ANN202
