@@ -11,9 +11,8 @@ _PROBABILITY = r"(?imd)^[ \t]*Probability:[ \t]*(\S.*?)[ \t\r]*$"
 _NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
-def probability(text: Column) -> dict[str, Column]:
-    """Value, status (``ok``, ``missing``, ``invalid``, ``out_of_range``) and format warning of the labelled probability."""
-    token = strip(F.regexp_extract(text, _PROBABILITY, 1))
+def probability(token: Column) -> dict[str, Column]:
+    """Value, status (``ok``, ``missing``, ``invalid``, ``out_of_range``) and format warning of a probability as text."""
     value = F.when(token.rlike(_NUMBER), token.try_cast("double"))
     status = (
         F.when(token == "", "missing")
@@ -37,43 +36,52 @@ def parse_answers(df: DataFrame, text: str) -> DataFrame:
     the probability counts as missing. Null and blank texts are unparseable.
     """
     t = strip(F.coalesce(F.col(text), F.lit("")))
-    first = strip(F.substring_index(t, "\n", 1))
-    rest = strip(F.when(F.instr(t, "\n") > 0, F.substr(t, F.instr(t, "\n") + 1)).otherwise(F.lit("")))
-
-    def word(pattern: str, of: Column) -> Column:
-        return F.initcap(F.lower(F.regexp_extract(of, pattern, 1)))
-
-    steps = [
-        (word(r"(?i)^Prediction\s*:\s*(Yes|No)\b", first), "structured", F.lit("")),
-        (word(r"(?i)^(Yes|No)\b", first), "first_line", rest),
-        (word(r"(?imd)^[ \t]*Prediction:[ \t]*(Yes|No)[ \t\r]*$", t), "structured", t),
-        (word(r"(?i)Prediction:\s*(Yes|No)\b", t), "fallback", t),
-        (word(r"(?i)\b(Yes|No)\b", t), "fallback", t),
-    ]
-    found = F.lit("unparseable")
-    status = F.lit("unparseable")
-    tail = t
-    for w, name, other in reversed(steps):
-        found = F.when(w != "", w).otherwise(found)
-        status = F.when(w != "", name).otherwise(status)
-        tail = F.when(w != "", other).otherwise(tail)
-    labelled = r"(?is)^(?:.*?\n)?[ \t]*Reasoning:\s*(.*)$"
-    reason = F.when(t.rlike(labelled), strip(F.regexp_extract(t, labelled, 1))).otherwise(F.lit(""))
-    # The word alone decides in the last step, so the whole text is its reasoning.
-    last = (steps[-1][0] != "") & ~F.greatest(*[(w != "") for w, _, _ in steps[:-1]])
-    reasoning = F.when((status == "unparseable") | last, t).when(reason != "", reason).otherwise(strip(tail))
-    p = probability(t)
-    sure = status != "unparseable"
-    return df.withColumns(
-        {
-            "prediction": found,
-            "parser_status": status,
-            "reasoning": reasoning,
-            "probability": F.when(sure, p["probability"]),
-            "probability_status": F.when(sure, p["probability_status"]).otherwise("missing"),
-            "probability_format_warning": sure & p["probability_format_warning"],
-            "pred_binary": F.when(found == "Yes", 1).when(found == "No", 0),
-        }
+
+    def taken_apart(x: Column) -> Column:
+        first = strip(F.substring_index(x, "\n", 1))
+        rest = strip(F.when(F.instr(x, "\n") > 0, F.substr(x, F.instr(x, "\n") + 1)).otherwise(F.lit("")))
+        labelled = r"(?is)^(?:.*?\n)?[ \t]*Reasoning:\s*(.*)$"
+
+        def word(pattern: str, of: Column) -> Column:
+            return F.initcap(F.lower(F.regexp_extract(of, pattern, 1)))
+
+        return F.struct(
+            word(r"(?i)^Prediction\s*:\s*(Yes|No)\b", first).alias("a"),
+            word(r"(?i)^(Yes|No)\b", first).alias("b"),
+            word(r"(?imd)^[ \t]*Prediction:[ \t]*(Yes|No)[ \t\r]*$", x).alias("c"),
+            word(r"(?i)Prediction:\s*(Yes|No)\b", x).alias("d"),
+            word(r"(?i)\b(Yes|No)\b", x).alias("e"),
+            x.alias("text"),
+            rest.alias("rest"),
+            F.when(x.rlike(labelled), strip(F.regexp_extract(x, labelled, 1))).otherwise(F.lit("")).alias("reason"),
+            strip(F.regexp_extract(x, _PROBABILITY, 1)).alias("token"),
+        )
+
+    # In a lambda each pattern is matched once, and the generated code stays small.
+    df = df.withColumn("__x", F.get(F.transform(F.array(t), taken_apart), F.lit(0)))
+    x = lambda n: F.col(f"__x.{n}")
+    steps = [("a", "structured", F.lit("")), ("b", "first_line", x("rest")), ("c", "structured", x("text")), ("d", "fallback", x("text"))]
+    found, status, tail = F.when(x("e") != "", x("e")).otherwise("unparseable"), F.when(x("e") != "", "fallback").otherwise("unparseable"), x("text")
+    by_label = F.lit(False)
+    for n, name, other in reversed(steps):
+        found = F.when(x(n) != "", x(n)).otherwise(found)
+        status = F.when(x(n) != "", name).otherwise(status)
+        tail = F.when(x(n) != "", other).otherwise(tail)
+        by_label = by_label | (x(n) != "")
+    # Where a word alone decides, the whole text is its reasoning.
+    reasoning = F.when(~by_label, x("text")).when(x("reason") != "", x("reason")).otherwise(strip(tail))
+    p = probability(x("token"))
+    return (
+        df.withColumns({"prediction": found, "parser_status": status, "reasoning": reasoning, **p})
+        .withColumns(
+            {
+                "probability": F.when(F.col("parser_status") != "unparseable", F.col("probability")),
+                "probability_format_warning": (F.col("parser_status") != "unparseable") & F.col("probability_format_warning"),
+                "probability_status": F.when(F.col("parser_status") != "unparseable", F.col("probability_status")).otherwise("missing"),
+                "pred_binary": F.when(F.col("prediction") == "Yes", 1).when(F.col("prediction") == "No", 0),
+            }
+        )
+        .drop("__x")
     )
 
 
