@@ -189,3 +189,85 @@ def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
 def scored(df: DataFrame, scorer, schema: str) -> DataFrame:  # noqa: ANN001
     """``df`` through ``scorer``, a function from an iterator of record batches to one: the place for a model."""
     return df.mapInArrow(scorer, schema)
+
+
+def logprob_confidence(top: Column) -> dict[str, Column]:
+    """Probabilities of yes and no from the first token's map of log probabilities; null where it has neither."""
+    def most(words: list[str]) -> Column:
+        kept = F.map_filter(top, lambda k, _: strip(k).isin(words))
+        return F.array_max(F.map_values(kept))
+
+    yes, no = most(["Yes", "yes", "YES"]), most(["No", "no", "NO"])
+    high = F.greatest(yes, no)
+    a, b = F.coalesce(F.exp(yes - high), F.lit(0.0)), F.coalesce(F.exp(no - high), F.lit(0.0))
+    return {"prob_yes": F.when(high.isNotNull(), a / (a + b)), "prob_no": F.when(high.isNotNull(), b / (a + b))}
+
+
+def verdict(pred: Column, y: Column) -> Column:
+    """Of an answer: correct, wrong or unparseable."""
+    return F.when(pred.isNull(), "unparseable").when(pred == y, "correct").otherwise("wrong")
+
+
+def critic_block(n: Column, text: Column, y: Column, prediction: Column, reasoning: Column, most: int = 500) -> Column:
+    """A wrong answer as a numbered sample for a critic; an empty reasoning is left out."""
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("--- Sample "), n.cast("string"), F.lit(" ---")),
+        F.lit("[Patient Medical History]"),
+        F.coalesce(text, F.lit("")),
+        F.concat(F.lit("[Actual Outcome] "), F.when(y == 1, "Yes").otherwise("No")),
+        F.concat(F.lit("[Wrong Prediction] "), prediction),
+        F.when(F.coalesce(reasoning, F.lit("")) != "", F.concat(F.lit("[Predictor Reasoning] "), F.left(reasoning, F.lit(most)))),
+    )
+
+
+def two_agent_rounds(df: DataFrame, predict, criticise, rounds: int = 1) -> tuple[DataFrame, str]:  # noqa: ANN001
+    """Predict, let a critic see the wrong rows, predict again with its advice; stops where nothing is wrong.
+
+    ``predict`` takes (df, advice) and gives df with ``pred`` and ``y``; ``criticise`` takes the wrong rows and gives
+    advice. Returns the last predictions and the advice, pieces joined by ``---``.
+    """
+    advice: list[str] = []
+    out = predict(df, "")
+    for _ in range(rounds):
+        wrong = out.where(F.col("pred").isNotNull() & (F.col("pred") != F.col("y")))
+        if wrong.isEmpty():
+            break
+        advice.append(criticise(wrong))
+        out = predict(df, "\n---\n".join(advice))
+    return out, "\n---\n".join(advice)
+
+
+def standardised(signal: Column, limit: float = 5.0) -> Column:
+    """A signal as z-scores within ``limit``, then brought to 0 to 1; a flat one is 0 everywhere."""
+
+    def let(value: Column, f) -> Column:  # noqa: ANN001
+        # Evaluates ``value`` once for all its uses in ``f``.
+        return F.get(F.transform(F.array(value), f), F.lit(0))
+
+    def total(a: Column) -> Column:
+        return F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
+
+    def spread_out(z: Column, low: Column, high: Column) -> Column:
+        return F.transform(z, lambda x: F.when(high > low, (x - low) / (high - low)).otherwise(0.0))
+
+    def scaled_by(s: Column, mean: Column, sd: Column) -> Column:
+        z = F.transform(s, lambda x: F.greatest(F.lit(-limit), F.least(F.lit(limit), F.when(sd > 0, (x - mean) / sd).otherwise(0.0))))
+        return let(z, lambda v: let(F.array_min(v), lambda low: let(F.array_max(v), lambda high: spread_out(v, low, high))))
+
+    def centred(s: Column, mean: Column) -> Column:
+        sd = F.sqrt(total(F.transform(s, lambda x: (x - mean) * (x - mean))) / F.size(s))
+        return let(sd, lambda d: scaled_by(s, mean, d))
+
+    return let(signal, lambda s: let(total(s) / F.size(s), lambda m: centred(s, m)))
+
+
+def fixed_length(signal: Column, n: int) -> Column:
+    """The centre of a signal, or the signal with zeros on both sides, at length ``n``."""
+    size = F.size(signal)
+    before = F.floor((F.lit(n) - size) / 2).cast("int")
+    start = (F.floor((size - n) / 2) + 1).cast("int")
+    zeros = lambda c: F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), c))
+    return F.when(size >= n, F.slice(signal, F.greatest(F.lit(1), start), F.lit(n))).otherwise(
+        F.concat(zeros(before), signal, zeros(F.lit(n) - size - before))
+    )

@@ -87,3 +87,25 @@ def mortality(visits: DataFrame, death: Column, e: Entity = Entity()) -> tuple[D
 def with_code(events: DataFrame, visit: str, root: Column, pattern: str) -> DataFrame:
     """Visits with an event whose code root contains ``pattern``, for a left semi join."""
     return events.where(root.rlike(pattern)).select(visit).where(F.col(visit).isNotNull()).distinct()
+
+
+def icu_age(birth_year: Column, at: Column) -> Column:
+    """Age by years; one below zero, as shifted dates of the very old give, is 90."""
+    age = F.year(at) - birth_year
+    return F.when(age < 0, 90).otherwise(age)
+
+
+def year_window(group: Column, year: Column, anchor: Column) -> Column:
+    """A year's true counterpart: the last year of the anchor's group and the distance to the anchor."""
+    return F.right(group, F.lit(4)).try_cast("int") + (year - anchor)
+
+
+def labelled(visits: DataFrame, task: str, e: Entity = Entity(), **how) -> DataFrame:  # noqa: ANN003
+    """``visits`` with the label of a task: ``readmission`` (gap_days), ``los`` (los, days), ``mortality`` (death)."""
+    if task == "readmission":
+        return readmission(visits, how["gap_days"], e)
+    if task == "los":
+        return long_stay(visits, how["los"], how["days"])
+    if task == "mortality":
+        return mortality(visits, how["death"], e)[0]
+    raise ValueError(f"unknown task {task}")

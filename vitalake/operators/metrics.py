@@ -210,3 +210,36 @@ def bootstrap(df: DataFrame, y: str, pred: str, key: str, replicates: int = 1000
             for m in ("accuracy", "recall", "f1")
         ])).alias("x")
     ).select("x.*")
+
+
+def log_losses(df: DataFrame, y: str, score: str, floor: float = 1e-12) -> DataFrame:
+    """Mean log loss, and the sum of its means over positives and over negatives."""
+    p = F.least(F.greatest(F.col(score), F.lit(floor)), F.lit(1 - floor))
+    loss = F.when(F.col(y) == 1, -F.log(p)).otherwise(-F.log(1 - p))
+    rows = df.where(F.col(y).isin(0, 1) & F.col(score).isNotNull())
+    return rows.agg(
+        F.avg(loss).alias("log_loss"),
+        (F.avg(F.when(F.col(y) == 1, loss)) + F.avg(F.when(F.col(y) == 0, loss))).alias("balanced_log_loss"),
+    )
+
+
+def temperature(df: DataFrame, y: str, logit: str, rounds: int = 30) -> float:
+    """The temperature that makes divided logits fit the labels best, by Newton's method on sums of one pass a round."""
+    rows = df.where(F.col(y).isin(0, 1) & F.col(logit).isNotNull())
+    b = 1.0  # the inverse temperature; the loss is convex in it
+    for _ in range(rounds):
+        z = F.col(logit)
+        p = 1 / (1 + F.exp(-b * z))
+        g, h = rows.agg(F.sum((p - F.col(y)) * z), F.sum(p * (1 - p) * z * z)).first()
+        if not h:
+            break
+        step = g / h
+        b = max(b - step, b / 2, 1e-3)
+        if abs(step) < 1e-9:
+            break
+    return 1 / b
+
+
+def scaled(df: DataFrame, logit: str, t: float) -> DataFrame:
+    """``df`` with ``calibrated``, the probability at temperature ``t``."""
+    return df.withColumn("calibrated", 1 / (1 + F.exp(-F.col(logit) / t)))

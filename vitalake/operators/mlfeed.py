@@ -94,3 +94,43 @@ def baselines(train: DataFrame, test: DataFrame, features: str, label: str, tree
         rows = model.fit(train).transform(test).select(F.lit(name).alias("model"), F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column``, ``value`` and ``code``: categories of each column in alphabetical order from 0."""
+    sets = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    once = df.select(F.explode(sets).alias("x")).select("x.*").where(F.col("value").isNotNull()).distinct()
+    return once.withColumn("code", F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1)
+
+
+def one_hot(df: DataFrame, key: str, column: str, values: list[str]) -> DataFrame:
+    """A column of 0 and 1 for each of ``values``; others are 0 everywhere."""
+    return df.select(key, *[F.coalesce((F.col(column) == v).cast("int"), F.lit(0)).alias(f"{column}_{v}") for v in values])
+
+
+def flattened(grid: DataFrame, key: str, feature: str, t: str, value: str, features: list, n: int) -> DataFrame:
+    """A row a key with a column ``<feature>_<t>`` for each feature and time; missing cells are 0."""
+    name = F.concat(F.col(feature).cast("string"), F.lit("_"), F.col(t).cast("string"))
+    names = [f"{f}_{i}" for f in features for i in range(n)]
+    return grid.withColumn("__c", name).groupBy(key).pivot("__c", names).agg(F.first(value)).na.fill(0)
+
+
+def svd(rows: DataFrame, features: str, k: int):  # noqa: ANN201
+    """Singular values of the uncentred matrix of ``features``, and its right vectors as a matrix.
+
+    The Gram matrix is added up by the tasks; only numbers of columns times columns reach the driver.
+    """
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    vectors = rows.select(features).rdd.map(lambda r: Vectors.fromML(r[0]))
+    found = RowMatrix(vectors).computeSVD(k)
+    return found.s.toArray().tolist(), found.V
+
+
+def perceptron(train: DataFrame, test: DataFrame, features: str, label: str, layers: list[int], seed: int = 42) -> DataFrame:
+    """Predictions of a multilayer perceptron."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    model = MultilayerPerceptronClassifier(featuresCol=features, labelCol=label, layers=layers, seed=seed, maxIter=50).fit(train)
+    return model.transform(test)

@@ -64,3 +64,36 @@ def oversampled(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame
         .select("r.*", F.explode(F.sequence(F.lit(1).cast("bigint"), times)).alias("copy"))
         .drop("rank")
     )
+
+
+def shares(df: DataFrame, key: str, names: list[str], parts: list[float], seed: int = 0, name: str = "split") -> DataFrame:
+    """Rows dealt to named parts by the hash alone, without a shuffle; sizes are near the shares."""
+    u = arithmetic_hash(F.col(key), seed) / F.lit(float(MODULUS))
+    out = F.lit(names[-1])
+    edge = sum(parts[:-1])
+    for n, p in reversed(list(zip(names[:-1], parts[:-1], strict=True))):
+        out = F.when(u < edge, n).otherwise(out)
+        edge -= p
+    return df.withColumn(name, out)
+
+
+def positional(df: DataFrame, order: str, cuts: list[tuple[str, float]], block: Column) -> DataFrame:
+    """``split`` by the place in ``order``: names with the share of rows up to which each goes."""
+    ranked = blocked_rank(df.withColumn("__all", F.lit(1)), ["__all"], [F.col(order)], block, "__r")
+    n = df.agg(F.count(F.lit(1)).alias("__n"))
+    out = F.lit(cuts[-1][0])
+    for name, upto in reversed(cuts[:-1]):
+        out = F.when(F.col("__r") <= F.floor(F.col("__n") * upto), name).otherwise(out)
+    return ranked.crossJoin(F.broadcast(n)).withColumn("split", out).drop("__all", "__r", "__n")  # one row
+
+
+def batches(df: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:
+    """``batch``: rows in order of the hash, ``size`` at a time."""
+    return hash_ranked(df.withColumn("__all", F.lit(1)), ["__all"], key, seed).withColumn(
+        "batch", F.floor((F.col("rank") - 1) / size)
+    ).drop("__all", "rank")
+
+
+def copies(df: DataFrame, label: str, times: int) -> DataFrame:
+    """Rows of label 1 repeated ``times`` times."""
+    return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col(label) == 1, times).otherwise(1))))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalake.plans import cohort_queries, data_problems, data_problems_sql, evaluation_queries
+from vitalake.plans import cohort_queries, data_problems, data_problems_sql, evaluation_queries, more_queries
 
-QUERIES = {**data_problems.QUERIES, **cohort_queries.QUERIES, **evaluation_queries.QUERIES}
-ORACLE_SQL = {**data_problems_sql.ORACLE_SQL, **cohort_queries.ORACLE_SQL, **evaluation_queries.ORACLE_SQL}
+QUERIES = {**data_problems.QUERIES, **cohort_queries.QUERIES, **evaluation_queries.QUERIES, **more_queries.QUERIES}
+ORACLE_SQL = {**data_problems_sql.ORACLE_SQL, **cohort_queries.ORACLE_SQL, **evaluation_queries.ORACLE_SQL, **more_queries.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
