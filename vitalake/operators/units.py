@@ -33,7 +33,7 @@ TOLERANCE = 1e-6
 
 def spelling_key(name: Column) -> Column:
     """A unit's spelling without case, spaces and the two micro signs."""
-    return F.regexp_replace(F.translate(F.lower(name), "µμ×", "uux"), r"[\s  \[\]()]+", "")
+    return F.regexp_replace(F.translate(F.lower(name), "µμ×", "uux"), r"[\s\u00a0\u2009\[\]()]+", "")
 
 
 def _key(name: str) -> str:
@@ -152,7 +152,7 @@ def harmonise(df: DataFrame, units: DataFrame, key: str = "labevent_id") -> Data
             F.when(~F.col("is_common"), F.struct("uom", "plausible_low", "plausible_high"))
         ).alias("others"),
     )
-    text = F.trim(F.translate("value", "  ", "  "))
+    text = F.trim(F.translate("value", "\u00a0\u2009", "  "))
     number = r"[+-]?(?:\d+(?:[.,]\d+)?|\.\d+)"
     # A unit before the number, a unit after it, or the number alone; signs of comparison may precede.
     # A power of ten that ends a unit isn't a part of the number before it.

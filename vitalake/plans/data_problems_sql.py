@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from vitalake.operators.units import NO_UNIT, SPELLINGS, _key
+
 #: Microseconds of the text forms of a duration in the chart table.
 _T = """
 CASE WHEN s LIKE 'P%' THEN cast(round(1e6 * (
@@ -31,7 +33,42 @@ chart AS (
   FROM (SELECT *, trim(event_time_from_admit) AS s FROM preproc_chart_icu))
 """
 
+_NAMES = ", ".join(f"({i}, '{k}')" for i, names in enumerate(SPELLINGS) for k in sorted({_key(x) for x in names}))
+_NONE = ", ".join(f"'{x}'" for x in NO_UNIT)
+_NUMBER = r"[+-]?(?:\d+(?:[.,]\d+)?|\.\d+)"
+_BEFORE = rf"^(?:[<>]=?|~)?\s*([^\s\d<>~][^<>]*?|1?0\S*)\s+({_NUMBER})$"
+_AFTER = rf"^(?:[<>]=?|~)?\s*({_NUMBER}?)\s*((?:[^\d.,\s]|x?10[\^e*E]\d).*)?$"
+
+
+def _sql_key(c: str) -> str:
+    return rf"regexp_replace(translate(lower({c}), 'µμ×', 'uux'), '[\s\[\]()]+', '', 'g')"
+
+
 ORACLE_SQL = {
+    "p5_found": rf"""
+WITH names(list, k) AS (VALUES {_NAMES}),
+own AS (
+  SELECT DISTINCT itemid, uom, {_sql_key('uom')} AS k FROM lab_units
+  UNION SELECT DISTINCT itemid, uom, b.k FROM lab_units JOIN names a ON a.k = {_sql_key('uom')} JOIN names b USING (list)),
+raw AS (
+  SELECT labevent_id, itemid, valuenum, valueuom, trim(value) AS t FROM labevents WHERE itemid IN (SELECT itemid FROM lab_units)),
+split AS (
+  SELECT *, CASE WHEN NOT regexp_matches(t, '\d') THEN NULL WHEN regexp_matches(t, '{_BEFORE}') THEN regexp_extract(t, '{_BEFORE}', 2) ELSE regexp_extract(t, '{_AFTER}', 1) END AS n,
+    CASE WHEN NOT regexp_matches(t, '\d') THEN NULL WHEN regexp_matches(t, '{_BEFORE}') THEN regexp_extract(t, '{_BEFORE}', 1) ELSE regexp_extract(t, '{_AFTER}', 2) END AS u FROM raw),
+keyed AS (
+  SELECT labevent_id, itemid, coalesce(CASE WHEN NOT isnan(valuenum) THEN valuenum END, try_cast(replace(n, ',', '.') AS DOUBLE)) AS number,
+    CASE WHEN lower(trim(valueuom)) NOT IN ({_NONE}) THEN {_sql_key('valueuom')} END AS ck, CASE WHEN lower(trim(u)) NOT IN ({_NONE}) THEN {_sql_key('u')} END AS tk FROM split),
+told AS (
+  SELECT k.*, (SELECT any_value(uom) FROM own o WHERE o.itemid = k.itemid AND o.k = k.ck) AS cu, (SELECT any_value(uom) FROM own o WHERE o.itemid = k.itemid AND o.k = k.tk) AS tu,
+    (SELECT any_value(uom) FROM lab_units l WHERE l.itemid = k.itemid AND is_common) AS common,
+    (SELECT any_value(NOT k.number BETWEEN plausible_low AND plausible_high) FROM lab_units l WHERE l.itemid = k.itemid AND is_common) AS off,
+    (SELECT count(*) FROM lab_units l WHERE l.itemid = k.itemid AND NOT is_common AND k.number BETWEEN plausible_low AND plausible_high) AS fits,
+    (SELECT any_value(uom) FROM lab_units l WHERE l.itemid = k.itemid AND NOT is_common AND k.number BETWEEN plausible_low AND plausible_high) AS fit
+  FROM keyed k WHERE number IS NOT NULL)
+SELECT labevent_id, uom FROM (
+  SELECT labevent_id, common, coalesce(cu, tu, CASE WHEN ck IS NULL AND tk IS NULL THEN CASE WHEN off AND fits = 1 THEN fit ELSE common END END) AS uom FROM told)
+WHERE uom <> common
+""",
     "p2_found": f"""
 WITH {_CHART},
 slots AS (
