@@ -99,7 +99,9 @@ _SHARP_S = re.compile("(?<=[a-zà-ÿ])ß(?=[a-zà-ÿ])")
 _L = "A-Za-zÀ-ÖØ-öø-ſ"
 #: Signs that don't stand between two Latin letters, letters of other scripts among Latin
 #: ones, accented capitals among small letters, and lone signs of boxes.
+# All begin with a sign beyond ASCII, which is looked for first.
 _ODD = re.compile(
+    r"(?=[^\x00-\x7f])(?:"
     f"(?<=[{_L}])(?:[„·‡‚‰¸ˆ˜◊˙‹›∂√∑∏≈∆˚¨¯¬¦¤¢§¶¿¡†”“«»€£¥©®™⌠⌡≤≥±²³¹÷°∙■ⁿ]|[─-▟]|[Α-ωЀ-џ])+(?=[{_L}])"
     "|(?<=[a-zà-öø-ÿ])[À-ÖØ-Þ](?=[a-zà-öø-ÿ])"
     "|(?<![─-▟])[═-▟](?![─-▟])"
@@ -110,6 +112,7 @@ _ODD = re.compile(
     r"|(?<=\d )◊(?= \d)|(?<=[A-Za-z] )Ω(?= [A-Za-z])|(?<=\d )[ÇÄ](?= )|(?<= )[ûùñ](?= )"
     r"|(?<=\d)[îö](?=\s)|(?<!\w)ô[^\s]*[^\W\d_]ö(?!\w)"
     r"|(?<=n)ít\b|(?<=o)íd\b|(?<=[a-z])í(?:ll|re|ve)\b"
+    ")"
 )
 _LATIN_WORD = re.compile(rf"[\W\d_]*[{_L}µªº]+(?:[\W\d_]+[{_L}µªº]+)*[\W\d_]*|[\W\d_]*[µ°×½¼¾±–—…•”“’‘€™®©]\w*[\W\d_]*")
 _TOKEN = re.compile(r"[^\s]+")
