@@ -48,6 +48,31 @@ def test_defects(prompt, text, want):
     assert responses.defects(prompt, text) == want
 
 
+@pytest.mark.parametrize(
+    ("prompt", "text", "want"),
+    [
+        (ASK, FULL, []),
+        (ASK, None, ["empty"]),
+        (ASK, "```\n```", ["empty"]),
+        (ASK, "Prediction:\nProbability:\nReasoning:", ["empty", "truncated"]),
+        (WORD, "I'm sorry, but I can't give a prediction.", ["refusal"]),
+        (ASK, "Prediction: As a language model, I must decline.", ["refusal", "truncated"]),
+        (WORD, "I'm sorry, but I can't give a predi", ["refusal", "truncated"]),
+        (WORD, "Lo siento, pero no puedo responder a esta pregunta.", ["refusal", "other_language"]),
+        (ASK, "Lo siento, pero no puedo responder.", ["refusal", "other_language", "truncated"]),
+        (WORD, WORD[:-3], ["copy", "truncated"]),
+        (WORD + " As a language model you know.", "- Diagnoses noted: gout; asthma. As a language model you know.", ["refusal", "copy"]),
+    ],
+)
+def test_all_defects(prompt, text, want):
+    assert responses.all_defects(prompt, text) == want
+
+
+def test_defects_by_row(spark):
+    df = spark.createDataFrame([(1, ASK, "Lo siento, pero no puedo responder.")], "response_id bigint, prompt string, text string")
+    assert [tuple(r) for r in responses.flag_responses(df).collect()] == [(1, ["refusal", "other_language", "truncated"], "refusal")]
+
+
 def test_flag_responses(spark):
     rows = [(1, ASK, FULL, "x"), (2, ASK, None, "x"), (2, ASK, None, "x"), (None, None, "", "x"), (3, None, None, None)]
     df = spark.createDataFrame(rows, "response_id bigint, prompt string, text string, defect string")

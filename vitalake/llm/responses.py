@@ -157,8 +157,11 @@ def _copied(words: list[str], plain_prompt: str) -> float:
     return sum(runs) / len(runs)
 
 
-def defects(prompt: str | None, text: str | None) -> list[str]:
-    """All defects of ``text`` as an answer to ``prompt``, in the order of ``DEFECTS``."""
+def all_defects(prompt: str | None, text: str | None) -> list[str]:
+    """All defects of ``text`` as an answer to ``prompt``, in the order of ``DEFECTS``; each rule is judged by itself.
+
+    Of a text without any word but marks, tags and words for nothing, only emptiness can be told.
+    """
     if text is None:
         return ["empty"]
     seen = _visible(text)
@@ -166,33 +169,40 @@ def defects(prompt: str | None, text: str | None) -> list[str]:
     bodies = [b for _, b in labelled]
     left = [w for w in _WORDS.findall(" ".join([head, *bodies]).lower()) if w not in NOTHING]
     bare = [w for w in _WORDS.findall(seen.lower()) if w in _LABEL_NAMES]
-    if not left or (len(left) <= 3 and all(w in _LABEL_NAMES for w in left) and len(bare) >= len(left)):
+    if not left and not bare:
         return ["empty"]
+    out = []
+    if not left or (len(left) <= 3 and all(w in _LABEL_NAMES for w in left) and len(bare) >= len(left)):
+        out.append("empty")
     prompt = _visible(prompt or "")
     wanted, labels = asked(prompt)
     firsts = [b for x, b in labelled if any(i == 0 for _, i in _LABEL_LANGUAGES[x])]
     answer = _answer_word(firsts[0]) if firsts else (_answer_word(seen) if not labelled else None)
     if labelled and firsts and len(firsts[0].split()) > 2 and _REFUSAL.search(firsts[0].replace("’", "'")):
         answer = None  # "No prediction can be offered" is no answer
-    out = []
-    plain_prompt = f" {_plain(prompt)} "
     if answer is None and not labels and any(_plain(x) in _ANSWER_LANGUAGES for x in seen.split("\n")):
         answer = next(_plain(x) for x in seen.split("\n") if _plain(x) in _ANSWER_LANGUAGES)
-    is_copy = answer is None and _copied(_plain(seen).split(), plain_prompt) >= COPIED
-    refuses = answer is None and not is_copy and bool(_REFUSAL.search(" ".join([head, *bodies]).replace("’", "'")))
-    if refuses:
+    if answer is None and _REFUSAL.search(" ".join([head, *bodies]).replace("’", "'")):
         out.append("refusal")
-    if is_copy:
+    if answer is None and _copied(_plain(seen).split(), f" {_plain(prompt)} ") >= COPIED:
         out.append("copy")
-    if not refuses and not is_copy:
-        told = _other_language(wanted, head, labelled, answer)
-        if told:
-            out.append("other_language")
-        if _truncated(seen, labels, labelled, answer, told):
-            out.append("truncated")
+    if _other_language(wanted, head, labelled, answer):
+        out.append("other_language")
+    if _truncated(seen, labels, labelled, answer):
+        out.append("truncated")
     return out
 
 
+def leading(found: list[str]) -> list[str]:
+    """Of all defects those that count first: emptiness, a copy or a refusal alone, else all."""
+    return next(([x] for x in ("empty", "copy", "refusal") if x in found), found)
+
+
+def defects(prompt: str | None, text: str | None) -> list[str]:
+    """The ``leading`` defects of ``text`` as an answer to ``prompt``, in the order of ``DEFECTS``."""
+    return leading(all_defects(prompt, text))
+
+
 def _other_language(wanted: str | None, head: str, labelled: list[tuple[str, str]], answer: str | None) -> bool:
     """Whether the answer, or all its reasoning, is in another language than ``wanted``."""
     if wanted is None:
@@ -210,9 +220,7 @@ def _other_language(wanted: str | None, head: str, labelled: list[tuple[str, str
     return False
 
 
-def _truncated(
-    seen: str, labels: tuple[str, ...], labelled: list[tuple[str, str]], answer: str | None, translated: bool
-) -> bool:
+def _truncated(seen: str, labels: tuple[str, ...], labelled: list[tuple[str, str]], answer: str | None) -> bool:
     """Whether an answer stops before its end or before a line that was asked for."""
     there = {i for x, b in labelled for _, i in _LABEL_LANGUAGES[x] if _WORDS.search(b)}
     if labels:
@@ -232,13 +240,14 @@ def _truncated(
 
 
 def flag_responses(df: DataFrame, key: str = "response_id", prompt: str = "prompt", text: str = "text") -> DataFrame:
-    """Each defective answer with all its defects: ``key``, ``defects`` (array), ``defect`` (the first).
+    """Each defective answer with all its defects: ``key``, ``defects`` (array), ``defect`` (the leading one).
 
-    Ordered rules over the whole text: ``empty`` (null, blank, or only labels, marks, tags,
+    Rules over the whole text, each judged by itself: ``empty`` (null, blank, or only labels, marks, tags,
     layout), ``refusal`` (a phrase that declines, in eight languages, and no answer), ``copy`` (most
     of it are lines of the prompt, and no answer), ``other_language`` (script, labels, answer
     word or reasoning of another language than the prompt) and ``truncated`` (an unclosed
     delimiter, an abrupt end, or a line missing that the prompt asks for).
+    ``defect`` is emptiness, a copy or a refusal if found, else the first of the rest.
     finish_reason isn't used, as it may be wrong.
 
     A null or empty prompt asks for nothing, so only emptiness, refusal and abrupt ends are
@@ -249,13 +258,13 @@ def flag_responses(df: DataFrame, key: str = "response_id", prompt: str = "promp
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [defects(p, t) for p, t in zip(b["p"].to_pylist(), b["t"].to_pylist(), strict=True)]
+            found = [all_defects(p, t) for p, t in zip(b["p"].to_pylist(), b["t"].to_pylist(), strict=True)]
             hit = [i for i, f in enumerate(found) if f]
             yield pa.RecordBatch.from_arrays(
                 [
                     b["k"].take(pa.array(hit, pa.int64())),
                     pa.array([found[i] for i in hit], pa.list_(pa.string())),
-                    pa.array([found[i][0] for i in hit], pa.string()),
+                    pa.array([leading(found[i])[0] for i in hit], pa.string()),
                 ],
                 names=[key, "defects", "defect"],
             )
