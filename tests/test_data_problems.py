@@ -17,6 +17,7 @@ from vitalake.operators.missing import stand_ins
 from vitalake.operators.ranks import blocked_previous, blocked_rank
 from vitalake.operators.spikes import faulty_readings
 from vitalake.operators.units import Affine, UnitGraph, conversions, harmonise
+from vitalake.plans.data_problems import p2_counter
 
 HOUR = 3_600_000_000
 
@@ -111,6 +112,33 @@ def test_counter_series(spark):
     assert math.isclose(sum(v[2] for v in got.values()), 17.0)
 
 
+def test_counter_of_spans(spark, tmp_path):
+    # One order whose spans touch, overlap and nest; a pause; spans of two orders at once; a span across blocks.
+    spans = [
+        (1, 7, 1, 0, 60, 4.0), (1, 7, 1, 60, 150, 3.0), (1, 7, 1, 90, 120, 0.7), (1, 7, 2, 100, 400, 9.1),
+        (1, 7, 3, 2000, 2010, 5.0), (1, 7, 4, 59_000, 64_000, 2.3), (1, 8, 1, 30, 90, 6.0), (2, 7, 1, 10, 20, 1.0), (2, 7, 1, 20, 30, 1.0),
+    ]
+    dirty = [spans[0], (1, 7, 1, 90, 90, 5.0), (1, 7, 1, 90, 80, 5.0), (1, 7, 1, None, 80, 5.0), (1, 7, 1, 0, 80, None)]
+    df = spark.createDataFrame(spans + dirty, "stay_id bigint, itemid bigint, orderid bigint, a bigint, b bigint, amount double")
+    at = lambda c, n: F.timestamp_micros(F.col(c) * 60_000_000).alias(n)
+    df.select("stay_id", "itemid", "orderid", at("a", "starttime"), at("b", "endtime"), "amount").write.parquet(f"{tmp_path}/preproc_med_icu.parquet")
+    want = defaultdict(float)
+    for stay, item, _, a, b, amount in spans:
+        first = min(x[3] for x in spans if x[0] == stay)
+        for m in range(a - first, b - first):
+            want[stay, item, m // 60] += amount / (b - a)
+    got = p2_counter(spark, str(tmp_path)).collect()
+    increments = defaultdict(float)
+    for r in got:
+        increments[r.stay_id, r.itemid, r.slot] += r.increment
+    assert all(math.isclose(increments[k], want[k], abs_tol=1e-6) for k in {*increments, *want})
+    for key in {(s[0], s[1]) for s in spans}:
+        rows = sorted((r.slot, r.value) for r in got if (r.stay_id, r.itemid) == key)
+        assert [s for s, _ in rows] == list(range(rows[0][0], rows[-1][0] + 1))
+        assert [v for _, v in rows] == sorted(v for _, v in rows)
+        assert math.isclose(rows[-1][1], sum(s[5] for s in spans if s[:2] == key), abs_tol=1e-6)
+
+
 def test_stand_ins(spark):
     rng = random.Random(3)
     rows = [(i, float(rng.randint(0, 100))) for i in range(10) for _ in range(50)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalake.operators.ranks import blocked_previous
+from vitalake.operators.ranks import blocked_previous, blocked_total
 
 BLOCK_SLOTS = 1024
 #: A gap is unfolded in pieces of so many slots.
@@ -113,3 +113,32 @@ def regular_series(readings: DataFrame, keys: list[str], counter: bool = False,
         F.when(F.sum("n") > 0, "observed").otherwise("uncovered").alias("status"),
         F.sum("increment").alias("increment"),
     )
+
+
+def running_amount(spans: DataFrame, keys: list[str], period: int) -> DataFrame:
+    """The running amount of ``keys`` at each start and end of a span, as readings ``t`` and ``value`` of a counter.
+
+    ``spans``: ``keys``, ``start`` and ``end`` (microseconds, 0 or more), ``amount``, given evenly
+    over the span. Spans may touch, overlap, nest or lie apart: at any time the rates of
+    all spans under way add up. Rates and parts are added up as decimals, so the counter
+    never falls, and it ends at the sum of the amounts to 1e-9.
+
+    Rows with a null, without length or with an amount that isn't positive and finite are left
+    out; each further row is an amount of its own; an empty table gives an empty one. A
+    source is worked on in blocks of ``BLOCK_SLOTS`` slots of ``period`` microseconds.
+    """
+    rate = (F.col("amount") * 1e6 / (F.col("end") - F.col("start"))).cast("decimal(30,18)")
+    valid = spans.select(*keys, "start", "end", F.col("amount").cast("double").alias("amount")).na.drop().where("end > start and amount > 0 and amount < double('infinity')")
+    steps = (
+        valid.select(*keys, "start", "end", rate.alias("rate"))
+        .select(*keys, F.explode(F.array(F.struct(F.col("start").alias("t"), F.col("rate")), F.struct(F.col("end").alias("t"), (-F.col("rate")).alias("rate")))).alias("x"))
+        .groupBy(*keys, "x.t")
+        .agg(F.sum("x.rate").alias("step"))
+    )
+    block = F.floor(F.col("t") / (BLOCK_SLOTS * period))
+    order = [F.col("t")]
+    rates = blocked_total(steps, keys, order, block, F.col("step"), "rate")
+    linked = blocked_previous(rates, keys, order, block, F.struct("t", "rate"), "prior")
+    given = F.col("prior.rate").cast("double") * (F.col("t") - F.col("prior.t")) / 1e6
+    part = F.coalesce(given, F.lit(0.0)).cast("decimal(30,12)")
+    return blocked_total(linked, keys, order, block, part, "total").select(*keys, "t", F.col("total").cast("double").alias("value"))

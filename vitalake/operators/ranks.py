@@ -1,6 +1,6 @@
-"""Ranks and neighbours within a key, spread over blocks of the order.
+"""Ranks, running totals and neighbours within a key, spread over blocks of the order.
 
-A window over a key puts the whole key into one task. These two forms put only
+A window over a key puts the whole key into one task. These forms put only
 one block of the order into a task, so that a key with a third of all rows is
 worked on by many tasks; what crosses blocks is a table of one row a block.
 """
@@ -39,6 +39,25 @@ def blocked_rank(df: DataFrame, keys: list[str], order: list[Column], block: Col
     )
 
 
+def blocked_total(df: DataFrame, keys: list[str], order: list[Column], block: Column, value: Column, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` up to and with the row, within ``keys`` by ``block`` and ``order``.
+
+    ``block`` must rise with the order, and neither it nor ``keys`` may be null. Of decimals
+    the sums are exact, so they don't depend on the blocks.
+    """
+    b, v = f"__{name}_block", f"__{name}_v"
+    df = df.withColumn(b, block).withColumn(v, value)
+    inside = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = df.groupBy(*keys, b).agg(F.sum(v).alias("__sum")).select(*keys, b, F.sum("__sum").over(before).alias("__offset"))
+    total = F.sum(v).over(inside)
+    return (
+        df.join(offsets, [*keys, b])
+        .withColumn(name, F.when(F.col("__offset").isNull(), total).otherwise(F.col("__offset") + total))
+        .drop(b, v, "__offset")
+    )
+
+
 def blocked_previous(
     df: DataFrame, keys: list[str], order: list[Column], block: Column, value: Column, name: str
 ) -> DataFrame:

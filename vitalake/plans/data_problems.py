@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalake.operators.grid import regular_series
+from vitalake.operators.grid import regular_series, running_amount
 from vitalake.operators.impute import fill_readings, impute_chained
 from vitalake.operators.intervals import periods_and_gaps
 from vitalake.operators.spikes import faulty_readings
@@ -32,7 +32,7 @@ def p2_series(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_counter(spark: SparkSession, folder: str) -> DataFrame:
-    """Running amount given of each drug of a stay, as a counter, spread over hours."""
+    """Running amount given of each drug of a stay, over all spans of its orders, as a counter, spread over hours."""
     given = (
         table(spark, folder, "preproc_med_icu")
         .where("amount > 0 and starttime is not null and endtime > starttime and stay_id is not null")
@@ -41,14 +41,12 @@ def p2_counter(spark: SparkSession, folder: str) -> DataFrame:
     )
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     origin = given.groupBy("stay_id").agg(F.min("starttime").alias("origin"))
-    one = given.join(origin, "stay_id").select(
-        "stay_id", "itemid", "orderid",
-        F.explode(F.array(
-            F.struct((micros("starttime") - micros("origin")).alias("t"), F.lit(0.0).alias("value")),
-            F.struct((micros("endtime") - micros("origin")).alias("t"), F.col("amount").alias("value")),
-        )).alias("r"),
-    ).select("stay_id", "itemid", "orderid", "r.t", "r.value", F.lit(3_600_000_000).alias("period"))
-    return regular_series(one, ["stay_id", "itemid", "orderid"], counter=True)
+    spans = given.join(origin, "stay_id").select(
+        "stay_id", "itemid", (micros("starttime") - micros("origin")).alias("start"), (micros("endtime") - micros("origin")).alias("end"), "amount"
+    )
+    hour = 3_600_000_000
+    counter = running_amount(spans, ["stay_id", "itemid"], hour).withColumn("period", F.lit(hour))
+    return regular_series(counter, ["stay_id", "itemid"], counter=True)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
