@@ -206,6 +206,27 @@ def test_faulty_readings(spark):
     assert faulty_readings(df.limit(0), items).count() == 0
 
 
+def test_stuck_runs_of_sparse_sources(spark):
+    # One reading a day on a grid of 240 minutes; runs over every border of blocks, of time and of readings.
+    _, v = made_source(1100)
+    t = np.arange(1100) * 24 * HOUR
+    for first in (39, 475, 1023 - 4, 1040):
+        v[first : first + 6] = v[first] + 0.03
+    v[1060:1062] = 150
+    rows = [(i, 7, 1, int(a), float(b)) for i, (a, b) in enumerate(zip(t, v, strict=True))]
+    rows += [(10_000 * (k + 1) + i, *rows[i][1:]) for i in (1024, 1025) for k in range(70)]  # repeated rows are no readings
+    rows += [(1_000_000 + i, 8, 1, int(t[i]), float(v[i])) for i in range(1027)]
+    df = spark.createDataFrame(rows, "row_id bigint, stay_id bigint, itemid bigint, t bigint, value double")
+    items = spark.createDataFrame([(1, 10.0, 200.0, "lab", 240)], "itemid bigint, physical_low double, physical_high double, category string, grid_minutes int")
+    got = defaultdict(set)
+    for r in faulty_readings(df, items).collect():
+        got[r.kind].add(r.row_id)
+    runs = {i for f in (39, 475, 1019, 1040) for i in range(f, f + 6)}
+    copies = {10_000 * (k + 1) + 1024 for k in range(70)}
+    assert got["stuck"] == runs | copies | {1_000_000 + i for i in runs if i < 1027}
+    assert got["spike"] == {1060, 1061}
+
+
 UNITS = [(1, "mg/dL", True, 1.0, 50.0, 400.0), (1, "mmol/L", False, 18.0, 3.0, 22.0), (2, "K/uL", True, 1.0, 1.0, 40.0), (2, "cells/uL", False, 0.001, 1000.0, 40000.0), (2, "10^9/L", False, 1.0, 1.0, 40.0)]
 
 

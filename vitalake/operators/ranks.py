@@ -39,6 +39,27 @@ def blocked_rank(df: DataFrame, keys: list[str], order: list[Column], block: Col
     )
 
 
+def blocked_dense_rank(df: DataFrame, keys: list[str], order: list[Column], block: str, name: str = "rank") -> DataFrame:
+    """``df`` with ``name``: the dense rank from 1 within ``keys``; rows equal in ``order`` share it.
+
+    The column ``block`` must rise with the order and follow from it; neither it nor ``keys`` may
+    be null. It is dropped.
+    """
+    inside = Window.partitionBy(*keys, block).orderBy(*order)
+    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = df.withColumn("__inside", F.dense_rank().over(inside))
+    offsets = (
+        ranked.groupBy(*keys, block)
+        .agg(F.max("__inside").alias("__n"))
+        .select(*keys, block, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    )
+    return (
+        ranked.join(offsets, [*keys, block])
+        .withColumn(name, F.col("__offset") + F.col("__inside"))
+        .drop(block, "__offset", "__inside")
+    )
+
+
 def blocked_total(df: DataFrame, keys: list[str], order: list[Column], block: Column, value: Column, name: str) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` up to and with the row, within ``keys`` by ``block`` and ``order``.
 

@@ -9,13 +9,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitalake.operators.ranks import blocked_dense_rank
+
 STUCK_RUN = 6
 SPIKE_RUN = 3
 THRESHOLD = 6.0
-#: A source is cut into blocks of this many grid periods of its item; the
-#: readings of so many periods on either side are given along.
+#: A source is cut into blocks of this many readings; so many readings on either side
+#: are given along, more than ``STUCK_RUN`` and enough for the filter to settle.
+BLOCK_READINGS = 1024
+HALO_READINGS = 64
+#: Readings are ranked in blocks of so many grid periods of their item.
 BLOCK_PERIODS = 240
-HALO_PERIODS = 24
 
 NONE, IMPOSSIBLE, STUCK, SPIKE = 0, 1, 2, 3
 KINDS = np.array([None, "impossible", "stuck", "spike"], dtype=object)
@@ -134,8 +138,9 @@ def faulty_readings(
     (one to three readings in a row off the level before and after by more than
     ``threshold`` times the usual scatter; not for settings).
 
-    Sources are cut into blocks of time, which get the readings around them along, so
-    no source is worked on as a whole. Rows with a null row_id, stay_id, itemid, t or
+    Sources are cut into blocks by the order of readings, whatever the time between them; blocks
+    get the readings around them along, so no run is missed and no source is worked on as a
+    whole. The scatter is that of the block and the readings around it. Rows with a null row_id, stay_id, itemid, t or
     value are no cases; rows of items without bounds can't be impossible; repeated
     rows (same source, time and value) count once in a run and get the same kind; an
     empty table gives an empty table; further columns aren't looked at.
@@ -153,21 +158,22 @@ def faulty_readings(
         readings.select("row_id", "stay_id", "itemid", "t", F.col("value").cast("double").alias("value"))
         .na.drop()
         .join(F.broadcast(items.select("itemid", "grid_minutes").dropDuplicates(["itemid"])), "itemid", "left")
-        .withColumn("p", F.floor(F.col("t") / period).cast("int"))
+        .withColumn("part", F.floor(F.col("t") / (period * BLOCK_PERIODS)).cast("int"))
     )
-    inside = F.pmod("p", F.lit(BLOCK_PERIODS))
-    block = F.floor(F.col("p") / BLOCK_PERIODS).cast("int")
+    ranked = blocked_dense_rank(keyed, ["stay_id", "itemid"], [F.col("t"), F.col("value")], "part")
+    inside = F.pmod(F.col("rank") - 1, F.lit(BLOCK_READINGS))
+    block = F.floor((F.col("rank") - 1) / BLOCK_READINGS).cast("int")
     own = F.struct(block.alias("block"), F.lit(True).alias("own"))
 
     def halo(step: int) -> Column:
         return F.array(own, F.struct((block + step).alias("block"), F.lit(False).alias("own")))
 
     blocks = (
-        F.when(inside < HALO_PERIODS, halo(-1))
-        .when(inside >= BLOCK_PERIODS - HALO_PERIODS, halo(1))
+        F.when((inside < HALO_READINGS) & (block > 0), halo(-1))
+        .when(inside >= BLOCK_READINGS - HALO_READINGS, halo(1))
         .otherwise(F.array(own))
     )
-    cut = keyed.select("row_id", "stay_id", "itemid", "t", "value", F.explode(blocks).alias("b")).select(
+    cut = ranked.select("row_id", "stay_id", "itemid", "t", "value", F.explode(blocks).alias("b")).select(
         "row_id", "stay_id", "itemid", "t", "value", "b.block", "b.own"
     )
     keys = ["stay_id", "itemid", "block"]
