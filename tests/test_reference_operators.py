@@ -167,6 +167,21 @@ def test_entities_and_sections(spark):
     assert [(r.section, r.content) for r in answers.sections(df, "id", "t").collect()] == [("Plan", "Rest at home")]
 
 
+def test_entities_by_mention(spark):
+    df = spark.createDataFrame([
+        (1, "Fever yesterday, no fever now"), (2, "CKD runs in the family; chronic kidney disease or ckd, mild CKD."),
+        (3, "Heroine use, systolic chf and diastolic chf"),
+    ], "id bigint, t string")
+    got = {(r.id, r.clause, r.entity, r.mention): (r.negated, r.family, r.severe) for r in answers.entities(df, "id", "t").collect()}
+    none = (False, False, False)
+    kidney = "chronic kidney disease"
+    assert got == {
+        (1, 0, "fever", 1): none, (1, 0, "fever", 2): (True, False, False), (2, 0, kidney, 1): (False, True, False),
+        (2, 1, kidney, 1): none, (2, 1, kidney, 2): none, (2, 1, kidney, 3): (False, False, True),
+        (3, 0, "heroine", 1): none, (3, 0, "systolic chf", 1): none, (3, 0, "diastolic chf", 1): none,
+    }
+
+
 def test_signals_and_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [4.0, 4.0])], "id bigint, v array<double>")
     got = {r.id: r.s for r in df.select("id", answers.standardised(F.col("v")).alias("s")).collect()}

@@ -139,7 +139,8 @@ def sections(df: DataFrame, key: str, text: str) -> DataFrame:
 
 #: Entities by name: label and the ways to write it; fixed values.
 ENTITIES = {
-    "morphine": ("DRUG-USE", "morphine"), "fentanyl": ("DRUG-USE", "fentanyl"), "cocaine": ("DRUG-USE", "cocaine"),
+    "morphine": ("DRUG-USE", "morphine"), "fentanyl": ("DRUG-USE", "fentanyl"), "cocaine": ("DRUG-USE", "cocaine"), "heroine": ("DRUG-USE", "heroine"),
+    "systolic chf": ("DIAGNOSIS", "systolic chf"), "diastolic chf": ("DIAGNOSIS", "diastolic chf"),
     "heart failure": ("DIAGNOSIS", "heart failure"), "chronic kidney disease": ("DIAGNOSIS", "chronic kidney disease|ckd"),
     "coronary artery disease": ("DIAGNOSIS", "coronary artery disease|cad"),
     "chronic obstructive pulmonary disease": ("DIAGNOSIS", "chronic obstructive pulmonary disease|copd"),
@@ -156,13 +157,15 @@ CONTEXTS = {
     "family": "family history|mother had|father had|sister had|brother had|maternal|paternal|hereditary|genetic",
     "severe": "mild|severe",
 }
+#: What says how an entity before it is meant; fixed values.
+BACKWARD = {"family": "runs in the family"}
 
 
 def entities(df: DataFrame, key: str, text: str) -> DataFrame:
     """Entities named in texts, with whether each is negated, historical, of the family or graded.
 
-    A context reaches forward to the end of the clause: the sentence, or a semicolon.
-    One row for each text, clause and entity.
+    A context reaches forward to the end of the clause (the sentence, or a semicolon), those of
+    ``BACKWARD`` to its begin. One row for each text, clause, entity and ``mention`` of it, from 1.
     """
     clauses = df.where(F.col(text).isNotNull()).select(
         key, F.posexplode(F.split(F.lower(F.col(text)), r"\n+|(?<=[.!?]) +|;")).alias("clause", "c")
@@ -174,8 +177,13 @@ def entities(df: DataFrame, key: str, text: str) -> DataFrame:
         ])
     )
     one = clauses.select(key, "clause", "c", F.explode(found).alias("e")).select(key, "clause", "c", "e.*")
-    before = F.split(F.col("c"), F.concat(F.lit(r"\b(?:"), F.col("ways"), F.lit(r")\b")), 2)[0]
-    return one.select(key, "clause", "entity", "label", *[before.rlike(rf"\b(?:{w})\b").alias(n) for n, w in CONTEXTS.items()])
+    around = F.split(F.col("c"), F.concat(F.lit(r"\b(?:"), F.col("ways"), F.lit(r")\b")), -1)
+    each = one.select(key, "clause", "entity", "label", around.alias("around")).withColumn("mention", F.explode(F.sequence(F.lit(1), F.size("around") - 1)))
+    before = F.array_join(F.slice("around", F.lit(1), F.col("mention")), " | ")
+    after = F.array_join(F.slice("around", F.col("mention") + 1, F.size("around")), " | ")
+    said = {n: before.rlike(rf"\b(?:{w})\b") for n, w in CONTEXTS.items()}
+    said |= {n: said[n] | after.rlike(rf"\b(?:{w})\b") for n, w in BACKWARD.items()}
+    return each.select(key, "clause", "entity", "label", "mention", *[c.alias(n) for n, c in said.items()])
 
 
 def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
