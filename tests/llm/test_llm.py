@@ -122,6 +122,13 @@ def test_correct_text_is_left(text):
     assert mojibake.restore(text) == (text, [])
 
 
+def test_restored_to_the_end():
+    deep = wrong("Déjà vu", *["latin-1"] * 7)
+    assert mojibake.restore(deep)[0] == "Déjà vu"
+    several = " / ".join(wrong("Déjà vu – naïve", *c) for c in (["cp1252"] * 4, ["mac_roman"]))
+    assert mojibake.restore(several)[0] == " / ".join(["Déjà vu – naïve"] * 2)
+
+
 def test_restore_texts(spark):
     df = spark.createDataFrame([(1, "cafÃ©", "z"), (1, "cafÃ©", "z"), (None, "cafÃ©", None), (2, None, ""), (3, "", "")], "doc_id bigint, text string, ways string")
     got = mojibake.restore_texts(df).collect()

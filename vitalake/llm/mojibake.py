@@ -17,7 +17,6 @@ LEGACY = ["cp1252", "cp1251", "mac_roman", "cp437", "cp850", "cp1250", "koi8_r"]
 #: Single-byte encodings taken for another: (taken for, really).
 LATIN_PAIRS = [("cp1252", "iso8859_2"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1251", "cp1252"), ("koi8_r", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("cp1252", "cp1250"), ("cp1250", "cp1252")]
 CYRILLIC_PAIRS = [("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp1252", "cp1251"), ("cp1252", "koi8_r"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("mac_roman", "cp1251"), ("cp437", "cp1251"), ("cp850", "cp1251"), ("cp437", "cp866"), ("iso8859_5", "cp1251"), ("cp1251", "iso8859_5")]
-PASSES = 4
 
 #: Runs of well-formed UTF-8 sequences of two to four bytes, a byte a sign.
 _SEQUENCE = (
@@ -231,7 +230,7 @@ def restore(text: str | None) -> tuple[str | None, list[str]]:
     text, pair = _cyrillic(text)
     if pair:
         ways.append("<".join(pair))
-    for _ in range(PASSES):
+    while True:  # each pass shortens the text
         text, codec = _unwrap(text)
         if codec is None:
             break
@@ -251,7 +250,7 @@ def restore_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     Signs are mapped back to the bytes of a legacy encoding; the maximal spans of these
     that are well-formed UTF-8 sequences of likely signs are decoded, and nothing else,
-    repeatedly. Single-byte encodings taken for one another are found by signs between
+    until none is left. Single-byte encodings taken for one another are found by signs between
     Latin letters, and by the frequency of letters in Russian. ``whole`` is false where
     signs are lost for good.
 
