@@ -17,6 +17,7 @@ from vitalake.operators.missing import stand_ins
 from vitalake.operators.ranks import blocked_previous, blocked_rank
 from vitalake.operators.spikes import faulty_readings
 from vitalake.operators.units import Affine, UnitGraph, conversions, harmonise
+from vitalake.plans import data_problems
 from vitalake.plans.data_problems import p2_counter
 
 HOUR = 3_600_000_000
@@ -206,6 +207,20 @@ def test_faulty_readings(spark):
     assert faulty_readings(df.limit(0), items).count() == 0
 
 
+def test_all_categories_of_stays(spark, monkeypatch, tmp_path):
+    def stays(n, name):
+        spark.range(2 * n).selectExpr(
+            "id as stay_id", "1.0D as los", "timestamp_seconds(0) as admittime", "timestamp_seconds(86400) as dischtime",
+            "0 as hospital_expire_flag", f"concat('race', id % {n}) as race", "if(id = 0, null, if(id = 1, '', 'public')) as insurance",
+        ).write.parquet(f"{tmp_path}/{name}/visits_iv.parquet")
+        return f"{tmp_path}/{name}"
+
+    monkeypatch.setattr(data_problems, "impute_chained", lambda df, key, numbers, categories: categories)
+    assert data_problems.p3_stays(spark, stays(60, "a")) == {"race": sorted(f"race{i}" for i in range(60)), "insurance": ["public"]}
+    with pytest.raises(ValueError, match="race has more than 100"):
+        data_problems.p3_stays(spark, stays(101, "b"))
+
+
 def test_stuck_runs_of_sparse_sources(spark):
     # One reading a day on a grid of 240 minutes; runs over every border of blocks, of time and of readings.
     _, v = made_source(1100)

@@ -59,11 +59,22 @@ def p3_filled(spark: SparkSession, folder: str) -> DataFrame:
     return fill_readings(readings(spark, folder), items(spark, folder))
 
 
+#: The most categories of a column; each is a field of the regressions.
+MOST_CATEGORIES = 100
+
+
+def _categories(df: DataFrame, column: str) -> list[str]:
+    """All categories of ``column`` in order; an error if there are more than ``MOST_CATEGORIES``."""
+    found = [r[0] for r in df.where(F.col(column) != "").groupBy(column).count().limit(MOST_CATEGORIES + 1).collect()]
+    if len(found) > MOST_CATEGORIES:
+        raise ValueError(f"{column} has more than {MOST_CATEGORIES} categories")
+    return sorted(found)
+
+
 def p3_stays(spark: SparkSession, folder: str) -> DataFrame:
     """Stays with null los, race and insurance filled from the other fields."""
     visits = table(spark, folder, "visits_iv")
-    races = sorted(r[0] for r in visits.select("race").distinct().limit(50).collect() if r[0])
-    payers = sorted(r[0] for r in visits.select("insurance").distinct().limit(50).collect() if r[0])
+    races, payers = _categories(visits, "race"), _categories(visits, "insurance")
     hours = (F.unix_micros(F.col("dischtime").cast("timestamp")) - F.unix_micros(F.col("admittime").cast("timestamp"))) / 3.6e9
     return impute_chained(
         visits.select("stay_id", "los", hours.alias("hours"), F.col("hospital_expire_flag").cast("double").alias("died"), "race", "insurance"),
