@@ -79,15 +79,18 @@ def padded(tokens: str, to: int, pad: str = "PAD"):  # noqa: ANN201
     return F.concat(F.col(tokens), F.array_repeat(F.lit(pad), F.greatest(F.lit(0), F.lit(to) - F.size(tokens))))
 
 
-def baselines(train: DataFrame, test: DataFrame, features: str, label: str, trees: int = 20, seed: int = 42) -> DataFrame:
-    """Predictions on ``test`` of logistic regression, a decision tree, a random forest and boosted trees fitted on ``train``."""
+def baselines(train: DataFrame, test: DataFrame, features: str, label: str, trees: int = 100, seed: int = 42, steps: int = 1000, boosts: int = 100) -> DataFrame:
+    """Predictions on ``test`` of logistic regression, a decision tree, a random forest and boosted trees fitted on ``train``.
+
+    The regression takes ``steps`` iterations at most, the forest ``trees`` and the boosting ``boosts`` trees.
+    """
     from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 
     made = {
-        "logistic_regression": LogisticRegression(featuresCol=features, labelCol=label, maxIter=100, regParam=0.01, standardization=False),
+        "logistic_regression": LogisticRegression(featuresCol=features, labelCol=label, maxIter=steps, regParam=0.01, standardization=False),
         "decision_tree": DecisionTreeClassifier(featuresCol=features, labelCol=label, seed=seed),
         "random_forest": RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=trees, seed=seed),
-        "boosted_trees": GBTClassifier(featuresCol=features, labelCol=label, maxIter=5, seed=seed),
+        "boosted_trees": GBTClassifier(featuresCol=features, labelCol=label, maxIter=boosts, seed=seed),
     }
     out = None
     for name, model in made.items():

@@ -210,7 +210,7 @@ def prob_histogram(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """Metrics with their bootstrap interval; the resamples are Spark's own, so there is no SQL."""
-    return metrics.bootstrap(predictions(spark, d), "y", "pred", "response_id", 200)
+    return metrics.bootstrap(predictions(spark, d), "y", "pred", "response_id")
 
 
 @query(f"""
@@ -430,6 +430,6 @@ def ml_baselines(spark: SparkSession, d: str) -> DataFrame:
     )
     split = sampling.stratified_split(t, "label", "pair_id", 0.25)
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
-    bag = CountVectorizer(inputCol="words", outputCol="features", binary=True, vocabSize=5000).fit(train)
-    got = mlfeed.baselines(bag.transform(train).select("features", "label"), bag.transform(test).select("features", "label"), "features", "label", trees=10)
+    bag = CountVectorizer(inputCol="words", outputCol="features", binary=True, vocabSize=2**31 - 1).fit(train)
+    got = mlfeed.baselines(bag.transform(train).select("features", "label"), bag.transform(test).select("features", "label"), "features", "label")
     return _rounded(metrics.confusion_metrics(got, "y", "pred", ["model"]), ["model"])
