@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vitalake.functions.text import clean_title, has_code, ndc_key, ndc_table_key, padded, split_codes, strip
@@ -275,3 +276,21 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 24
+
+
+def test_dense_ids_over_many_partitions(spark):
+    from vitalake.operators.visits import dense_ids
+
+    wide = spark.range(400_000, numPartitions=16).select(
+        ((F.col("id") * 7919) % 400_009).alias("a"), F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 11).alias("hot"), F.repeat(F.lit("x"), 40).alias("text")
+    )
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    got = dense_ids(wide, ["hot", "a"], "n")
+    w = Window.orderBy("n")
+    checked = got.withColumn("before", F.lag(F.struct("hot", "a")).over(w)).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("n").alias("ids"), F.min("n").alias("low"), F.max("n").alias("high"),
+        F.sum((F.col("before") >= F.struct("hot", "a")).cast("int")).alias("wrong"),
+    ).first()
+    assert tuple(checked) == (400_000, 400_000, 0, 399_999, 0)
+    assert dense_ids(wide.limit(0), ["a"], "n").count() == 0
+    spark.conf.set("spark.sql.shuffle.partitions", "4")

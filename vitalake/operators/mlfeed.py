@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitalake.operators.visits import dense_ids
+
 
 def code_tokens(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``key`` and ``token``: distinct lower-case words of joined lists; names of many words become many tokens."""
@@ -15,7 +17,7 @@ def code_tokens(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def vocabulary(tokens: DataFrame, token: str = "token") -> DataFrame:
     """``token``, ``df`` (rows that have it) and ``index``, from 0 in alphabetical order."""
     counted = tokens.groupBy(token).agg(F.count(F.lit(1)).alias("df"))
-    return counted.withColumn("index", F.row_number().over(Window.orderBy(token)) - 1)
+    return dense_ids(counted, [token], "index")
 
 
 def sparse_rows(tokens: DataFrame, vocab: DataFrame, key: str) -> DataFrame:

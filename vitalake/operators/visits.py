@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitalake.session import cut
+
 
 def distinct_concat(events: DataFrame, key: str, code: str, order: list[str], name: str, sep: str = ";") -> DataFrame:
     """Distinct codes of each key, joined in first-seen order.
@@ -62,20 +64,24 @@ def consecutive_pairs(visits: DataFrame, subject: str, order: list[str], carry:
 def dense_ids(df: DataFrame, order: list[str], name: str = "pair_id") -> DataFrame:
     """Whole numbers from 0 in ``order``, without a window over all rows.
 
-    Rows are sorted into ranges; the size of each range gives where its numbers begin.
+    Rows are sorted into ranges, and their places within the ranges are written to the shared folder
+    together with them: the number of a partition isn't the same in another run of the plan. The
+    size of each range gives where its numbers begin. Rows equal in ``order`` get different numbers.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    inside = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        inside.groupBy("__p")
+        ranged.groupBy(part.alias("__p"))
         .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__start", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     )
     # One row for each partition.
     return (
-        inside.join(F.broadcast(starts.select("__p", "__start")), "__p")
-        .withColumn(name, F.col("__start") + F.col("__i") - 1)
-        .drop("__p", "__i", "__start")
+        ranged.withColumn("__p", part)
+        .join(F.broadcast(starts), "__p")
+        .withColumn(name, F.col("__start") + inside)
+        .drop("__p", "__m", "__start")
     )
 
 
