@@ -196,15 +196,43 @@ def test_pack(spark):
             bins.append(n)
         else:
             bins[i] += n
-    assert len(fill) <= len(bins)
+    assert len(fill) <= 1.01 * len(bins)
     assert set(fill) == set(range(len(fill)))
+    windows, of = Counter(), {}
+    for r in got:
+        if r.n_tokens:
+            windows[r.window] += r.n_tokens
+            assert of.setdefault(r.window, (r.window_size, r.container)) == (r.window_size, r.container)
+            assert r.n_tokens <= r.tier <= r.window_size
+            assert r.tier == min(t for t in packing.TIERS if t >= r.n_tokens)
+    assert all(windows[w] <= of[w][0] for w in windows)
+    assert {r.window_size for r in got if r.n_tokens and r.window_size > r.tier}  # gaps of longer windows were filled
     per_group = Counter()
     for c, n in fill.items():
         per_group[next(r.step_group for r in got if r.container == c)] += n
-    assert max(per_group.values()) < 1.5 * min(per_group.values())
+    assert max(per_group.values()) < 1.01 * min(per_group.values()) + 2048
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_plan_by_tiers():
+    rng = random.Random(2)
+    counts = Counter(min(2048, int(rng.lognormvariate(5.5, 1.0)) + 1) for _ in range(20_000))
+    made = {t: packing.plan(counts, 2048, t) for t in (packing.TIERS, (2048,), (2048, 512), (2048, 300, 77))}
+    least = -(-sum(s * n for s, n in counts.items()) // 2048)
+    for tiers, p in made.items():
+        assert set(p.per_tier()) == set(tiers)
+        assert sum(units for _, units in p.per_tier().values()) == sum(s * n for s, n in counts.items())
+        assert least <= p.containers <= (least + 5 if tiers in (packing.TIERS, (2048,)) else 1.03 * least)
+        assert sum(fill * n for fill, _, n in p.fills) == sum(s * n for s, n in counts.items())
+        assert [f for f, _, _ in p.fills] == sorted((f for f, _, _ in p.fills), reverse=True)
+    assert len({tuple(sorted(p.items)) for p in made.values()}) == 4
+    # An item of the short tier fills the gap of the long window; the rest gets windows of its own length.
+    p = packing.plan({1500: 1, 500: 1, 400: 1, 200: 3}, 2048, (2048, 512))
+    assert (p.per_tier(), p.containers) == ({2048: (1, 2000), 512: (3, 1000)}, 2)
+    many = packing.plan({s: n * 10**9 for s, n in counts.items()}, 2048)
+    assert len(many.items) <= 3 * len(made[packing.TIERS].items)
+
+
 def test_components_brute(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)]
