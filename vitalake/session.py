@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that the session names.
+    """The folder for checkpoints that the session names, or that was set before.
 
-    Only where none is set, as in tests on one machine, a temporary one is made.
+    Only where none is set and all runs on one machine, as in tests, a temporary one is made, and
+    removed at the end; on a cluster that names none a ValueError is raised.
     """
     sc = spark.sparkContext
+    present = sc._jsc.sc().getCheckpointDir()
+    if not present.isEmpty():
+        return present.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named is None:
-        named = getattr(shared_folder, "own", None)
-        if named is None:
-            named = shared_folder.own = "file://" + tempfile.mkdtemp(prefix="vitalake-")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named)
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="vitalake-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        named = "file://" + own
+    sc.setCheckpointDir(named)
     return named
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 from pyspark.sql import DataFrame
 
@@ -39,7 +40,23 @@ def write_document(df: DataFrame, path: str, most: int = 10_000) -> None:
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(most).collect()
+    """A small result, of ``most`` rows at most, as a Markdown table; a ValueError if there are more.
+
+    Bars and line ends within a value are escaped, so that it stays in its cell; null is an empty cell.
+    """
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; write them as CSV")
+
+    def cell(v: object) -> str:
+        return "" if v is None else str(v).replace("|", "\\|").replace("\n", "<br>")
+
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)])
+    return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in rows)])
+
+
+def fenced(text: str, language: str = "") -> str:
+    """``text`` as a block of code whose fence is longer than any run of backticks within it."""
+    runs = re.findall("`+", text)
+    fence = "`" * max(3, *(len(r) + 1 for r in runs)) if runs else "```"
+    return f"{fence}{language}\n{text}\n{fence}"
