@@ -122,6 +122,38 @@ def test_correct_text_is_left(text):
     assert mojibake.restore(text) == (text, [])
 
 
+SCRIPTS = [
+    "المريض يعاني من ألم في الصدر", "환자는 가슴 통증을 호소했다", "החולה מתלונן על כאבים בחזה", "患者は胸の痛みをうったえた。テスト", "Пацієнт скаржиться на біль у грудях, її стан",
+    "Bệnh nhân được chẩn đoán đau ngực", "ผู้ป่วยมีอาการเจ็บหน้าอก", "रोगी को सीने में दर्द है", "Ὁ ἀσθενὴς ἔχει πόνον ἐν τῷ στήθει", "Le patient a présenté une fièvre élevée à l’entrée", "患者诉胸痛，未见异常",
+]
+
+
+@pytest.mark.parametrize("text", SCRIPTS)
+def test_restored_in_any_script(text):
+    def as_cp1252(t):
+        return "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in t.encode())
+
+    assert mojibake.restore(f"Note: {as_cp1252(text)}") == (f"Note: {text}", ["cp1252"])
+    assert mojibake.restore(as_cp1252(as_cp1252(text)))[0] == text
+    assert mojibake.restore(text) == (text, [])
+
+
+#: Words whose correct forms look odd in one way or another.
+WORDS = (
+    "côté école œuvre naïf maïs Noël français señal año corazón ação irmã pôr Straße Größe übel Ärztin Ängste zażółć gęślą współ ogół święto łódź "
+    "smörgås Ångström Ørsted kærlighed őrült žlutý kůň McÉwan DeÁngelis CÔTÉs LeÓn Всё ёлка приём моё СССР її ДІАГНОЗ ґрунт Αθήνα TNFα TGFβ1 Aδ xβy λόγος 5µg 37°C"
+).split()
+WRAPS = ["{}", "«{}»", "“{}”", "„{}“", "({})", "—{}—", "l’{}", "{}…", "‘{}’", "\xa0{}\xa0", "{}™", "1 ± 2 {} ≥ 3"]
+
+
+def test_no_correct_text_is_changed():
+    texts = {wrap.format(case(word)) for word in WORDS for wrap in WRAPS for case in (str, str.upper, str.lower, str.capitalize)}
+    texts |= {f"{a} {b}" for a, b in itertools.product(WORDS, WORDS) if a < b}
+    wrongly = [t for t in texts if mojibake.restore(t) != (t, [])]
+    assert len(texts) > 2500
+    assert wrongly == []
+
+
 def test_restored_to_the_end():
     deep = wrong("Déjà vu", *["latin-1"] * 7)
     assert mojibake.restore(deep)[0] == "Déjà vu"

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,12 +26,28 @@ _SEQUENCE = (
     "|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}"
 )
 _SPAN = re.compile(f"(?:{_SEQUENCE})+")
-#: Signs that a text may hold once it is restored.
-_LIKELY = re.compile(
-    "[\x80-\u017f\u0192\u02c6\u02dc\u0300-\u0303\u0308\u030a\u030c\u0327\u0328\u0391-\u03c9\u0401\u0410-\u044f\u0451"
+#: Signs that a single sequence may stand for: Latin and Greek letters, and usual marks and symbols.
+_ALONE = re.compile(
+    "[\x80-\u017f\u0192\u02c6\u02dc\u0300-\u0303\u0308\u030a\u030c\u0327\u0328\u0391-\u03c9\u1e00-\u1eff"
     "\u2010-\u2027\u2030-\u203a\u20ac\u2070-\u208e\u2116\u2122\u2126\u2150-\u215f\u2190-\u22ff\u2460-\u24ff\u2500-\u27bf"
-    "\u3000-\u303f\u3400-\u9fff\ufe0f\ufeff\uff00-\uffef\ufffd\U0001f300-\U0001faff]+"
+    "\u3000-\u303f\ufe0f\ufeff\uff00-\uffef\ufffd\U0001f300-\U0001faff]+"
 )
+#: First words of the names of letters that are written together as one script; fixed values.
+_TOGETHER = dict.fromkeys(["HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA", "BOPOMOFO", "IDEOGRAPHIC", "FULLWIDTH", "HALFWIDTH"], "CJK")
+
+
+@lru_cache(maxsize=65536)
+def _script(c: str) -> str:
+    """The script of a letter, COMMON for other signs, and '' for what no text holds."""
+    kind = unicodedata.category(c)
+    if kind in ("Cn", "Co", "Cs") or (kind == "Cc" and not "\x80" <= c <= "\x9f"):
+        return ""
+    if kind[0] not in "LM":
+        return "COMMON"
+    name = unicodedata.name(c, "COMMON").split(" ")[0]
+    return "COMMON" if name in ("COMBINING", "MODIFIER", "MICRO", "FEMININE", "MASCULINE", "VARIATION") else _TOGETHER.get(name, name)
+
+
 _C1 = re.compile("[\x80-\x84\x86-\x9f]")
 #: Frequency of the Russian letters, in thousandths; fixed values.
 RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", [110, 85, 80, 74, 67, 63, 55, 47, 45, 43, 35, 32, 30, 28, 26, 20, 19, 17, 17, 16, 16, 14, 12, 10, 9, 7, 6, 5, 4, 3, 3, 1, 1], strict=True))
@@ -62,15 +80,78 @@ class _Codec:
 
         self.pair = re.compile(signs(0xC2, 0xF4) + signs(0x80, 0xBF))
         # Where letters are lead bytes, a sequence of correct letters and usual signs is no evidence.
-        self.needs = re.compile("[─-▟■∙√≈]") if name == "koi8_r" else None
+        self.needs = re.compile(_UNUSUAL[name]) if name in _UNUSUAL else None
 
 
+#: Signs that correct Russian text of these encodings doesn't hold; fixed values.
+_UNUSUAL = {"koi8_r": "[─-▟■∙√≈]", "cp1251": "[ЂЃѓ‚†‡€‰Љ‹ЊЌЋЏђ™љ›њќћџЎўЈ¤Ґ¦ЄЇІіґ¶єјЅѕї¬]"}
 _CODECS = [_Codec(x) for x in LEGACY]
 
 
-def _decoded(span: str) -> str | None:
-    text = span.encode("latin-1").decode("utf-8")
-    return text if _LIKELY.fullmatch(text) else None
+#: Signs that close a quotation or a word in correct text, and so may follow its last letter; fixed values.
+_CLOSING = set("”“’‘»›™®°º…–—·")
+
+
+def _runs(codec: _Codec, text: str, as_bytes: str) -> list[tuple[int, int, str]]:
+    """(begin, end, decoded) of the maximal runs of sequences that stand for signs of any text."""
+    out = []
+    for m in _SPAN.finditer(as_bytes):
+        a, b = m.span()
+        if codec.name == "koi8_r" and not codec.needs.search(text[a:b]):
+            continue
+        decoded = m.group().encode("latin-1").decode("utf-8")
+        if all(map(_script, decoded)):
+            out.append((a, b, decoded))
+            continue
+        at, begin, run = a, a, ""
+        for c in decoded:
+            n = len(c.encode("utf-8"))
+            if _script(c):
+                run += c
+            else:
+                if run:
+                    out.append((begin, at, run))
+                begin, run = at + n, ""
+            at += n
+        if run:
+            out.append((begin, at, run))
+    return out
+
+
+_CYRILLIC_LETTER = re.compile("[\u0400-\u052f]")
+
+
+def _plausible(codec: _Codec, text: str, runs: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The runs that are text decoded wrongly.
+
+    A script is proven where a run has two letters of it or more; single letters of scripts but Latin and Greek count only
+    then. What correct text may hold by chance (a last letter with a closing sign, letters and signs of
+    a Cyrillic encoding) counts only beside other evidence.
+    """
+    proven: set[str] = set()
+    for _, _, got in runs:
+        if len(got) > 1:
+            scripts = [_script(c) for c in got]
+            letters = [x for x in scripts if x != "COMMON"]
+            proven |= {x for x in set(letters) - proven if letters.count(x) >= 2 and 2 * letters.count(x) > len(letters)}
+    known = proven | {"COMMON"}
+    runs = [r for r in runs if _ALONE.fullmatch(r[2]) or (any(_script(c) in proven for c in r[2]) and all(_ALONE.match(c) or _script(c) in known for c in r[2]))]
+    cyrillic = codec.name == "cp1251" and len(_CYRILLIC_LETTER.findall(text)) > sum(len(_CYRILLIC_LETTER.findall(text[a:b])) for a, b, _ in runs)
+    sure, unsure = [], []
+    for run in runs:
+        a, b, got = run
+        before, after = text[a - 1 : a], text[b : b + 1]
+        if cyrillic:
+            alone = not (_CYRILLIC_LETTER.match(before) or _CYRILLIC_LETTER.match(after))
+            if len(got) >= 3 or (codec.needs.search(text[a:b]) and (len(got) > 1 or alone)):
+                sure.append(run)
+            elif alone:
+                unsure.append(run)
+        elif len(got) == 1 and text[b - 1] in _CLOSING and "A" <= before <= "Z" and not after.isalpha():
+            unsure.append(run)
+        else:
+            sure.append(run)
+    return sorted(sure + unsure) if sure else []
 
 
 def _unwrap(text: str) -> tuple[str, str | None]:
@@ -79,13 +160,8 @@ def _unwrap(text: str) -> tuple[str, str | None]:
     for codec in _CODECS:
         if not codec.pair.search(text):
             continue
-        as_bytes = text.translate(codec.table)
         out, at, covered = [], 0, 0
-        for m in _SPAN.finditer(as_bytes):
-            a, b = m.span()
-            got = _decoded(m.group())
-            if got is None or (codec.needs and not codec.needs.search(text[a:b])):
-                continue
+        for a, b, got in _plausible(codec, text, _runs(codec, text, text.translate(codec.table))):
             out += [text[at:a], got]
             at = b
             covered += b - a - 2 * len(_C1.findall(got))
@@ -115,6 +191,10 @@ _ODD = re.compile(
 )
 _LATIN_WORD = re.compile(rf"[\W\d_]*[{_L}µªº]+(?:[\W\d_]+[{_L}µªº]+)*[\W\d_]*|[\W\d_]*[µ°×½¼¾±–—…•”“’‘€™®©]\w*[\W\d_]*")
 _TOKEN = re.compile(r"[^\s]+")
+#: Signs that don't stand between letters once a word is restored, a capital within a name, and Greek letters.
+_MISPLACED = re.compile(f"(?<=[{_L}])[‘“”…](?=[{_L}])")
+_NAME = re.compile(r"(?:^|\W)[A-Z][a-z]{1,3}[À-ÖØ-Þ][a-z]+\W*$")
+_GREEK = re.compile("[Α-ω]")
 #: Signs that a single-byte reading may well give, and signs that may be right as they are.
 _USUAL = set("µ°×½¼¾±–—…•”“’‘€™®©ªº«»¿¡ \xa0")
 _RIGHT = set("≥≤→←✓☐≠≈…–—“”‘’€°±µ½×²³")
@@ -128,16 +208,20 @@ def _latin(text: str) -> tuple[str, tuple[str, str] | None]:
     # Signs whose neighbours tell are judged with them, the rest within its word.
     odd = [w for w in _TOKEN.findall(text) if _ODD.search(w) or (marked and _SHARP_S.search(w))]
     odd = odd or [m.group() for m in _ODD.finditer(text)]
+    if len(odd) < 3 and all(map(_NAME.search, odd)):
+        return text, None
     polish = language(text) == "pl"
     best, score = None, 0.0
     for pair in LATIN_PAIRS:
         good = 0.0
         for w in odd:
             new = _swap(w, *pair)
-            if new != w and not _ODD.search(new) and (_LATIN_WORD.fullmatch(new) or set(new) <= _USUAL):
+            if new != w and not _ODD.search(new) and not _MISPLACED.search(new) and (_LATIN_WORD.fullmatch(new) or set(new) <= _USUAL):
+                if len(odd) == 1 and _GREEK.search(w) and 0 < sum(map(str.isalpha, new)) < 3:
+                    continue
                 changed = [c for a, c in zip(w, new, strict=False) if a != c]
                 good += sum(c.lower() in _LETTERS[polish] or c in _USUAL for c in changed) / len(changed)
-        if good > score and good >= 0.5 * len(odd):
+        if good > score and good >= (0.5 if len(odd) > 2 else 0.75) * len(odd):
             best, score = pair, good
     if best is None:
         return text, None
