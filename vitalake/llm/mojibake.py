@@ -89,7 +89,7 @@ _CODECS = [_Codec(x) for x in LEGACY]
 
 
 #: Signs that close a quotation or a word in correct text, and so may follow its last letter; fixed values.
-_CLOSING = set("”“’‘»›™®°º…–—·")
+_CLOSING = set("”“’‘»›™®°º…–—·\xa0")
 
 
 def _runs(codec: _Codec, text: str, as_bytes: str) -> list[tuple[int, int, str]]:
@@ -195,6 +195,7 @@ _TOKEN = re.compile(r"[^\s]+")
 _MISPLACED = re.compile(f"(?<=[{_L}])[‘“”…](?=[{_L}])")
 _NAME = re.compile(r"(?:^|\W)[A-Z][a-z]{1,3}[À-ÖØ-Þ][a-z]+\W*$")
 _GREEK = re.compile("[Α-ω]")
+_LETTERS_RUN = re.compile(f"[{_L}]+")
 #: Signs that a single-byte reading may well give, and signs that may be right as they are.
 _USUAL = set("µ°×½¼¾±–—…•”“’‘€™®©ªº«»¿¡ \xa0")
 _RIGHT = set("≥≤→←✓☐≠≈…–—“”‘’€°±µ½×²³")
@@ -217,7 +218,7 @@ def _latin(text: str) -> tuple[str, tuple[str, str] | None]:
         for w in odd:
             new = _swap(w, *pair)
             if new != w and not _ODD.search(new) and not _MISPLACED.search(new) and (_LATIN_WORD.fullmatch(new) or set(new) <= _USUAL):
-                if len(odd) == 1 and _GREEK.search(w) and 0 < sum(map(str.isalpha, new)) < 3:
+                if len(odd) == 1 and _GREEK.search(w) and 0 < max(map(len, _LETTERS_RUN.findall(new)), default=0) < 3:
                     continue
                 changed = [c for a, c in zip(w, new, strict=False) if a != c]
                 good += sum(c.lower() in _LETTERS[polish] or c in _USUAL for c in changed) / len(changed)
