@@ -48,6 +48,34 @@ def test_defects(prompt, text, want):
     assert responses.defects(prompt, text) == want
 
 
+@pytest.mark.parametrize(
+    ("prompt", "text", "want"),
+    [
+        ("¿Tendrá la próxima visita un código? Responda con una palabra, Sí o No.", "No puedo responder a esa pregunta.", ["refusal"]),
+        ("A próxima visita terá um código? Responda com uma palavra, Sim ou Não.", "Não posso responder a essa pergunta.", ["refusal"]),
+        ("下次就诊会有代码吗？请用一个词回答。", "无法回答这个问题。", ["refusal"]),
+        (WORD, "No, I cannot help with that.", ["refusal"]),
+        (WORD, "No, the record doesn't point to it; I cannot diagnose though.", []),
+        (WORD, "No. I can't rule it out.", []),
+        (ASK, "Prediction: No\nProbability: 0.2\nReasoning: Die Patientin nimmt Metformin; Blutzuckerwerte stiegen zuletzt an.", ["other_language"]),
+        (ASK, "Prediction: No\nProbability: 0.2\nReasoning: Il paziente non presenta segni di alterazione.", ["other_language"]),
+        (ASK, "Prediction: No\nProbability: 0.2\nReasoning: De patiënt heeft daar geen aanwijzingen voor.", ["other_language"]),
+    ],
+)
+def test_defects_in_any_language(prompt, text, want):
+    assert responses.all_defects(prompt, text) == want
+
+
+def test_finish_reason_is_a_hint():
+    whole = "The labs were fine and the dose is 0."
+    assert responses.all_defects("", whole) == []
+    assert responses.all_defects("", whole, "max_tokens") == ["truncated"]
+    assert responses.all_defects(ASK, FULL, "length") == []
+    assert responses.all_defects(ASK, FULL, "content_filter") == []
+    assert responses.all_defects(WORD, "Yes. As a language model, I must decline.", "content_filter") == ["refusal"]
+    assert responses.all_defects(WORD, "Yes. As a language model, I must decline.", "stop") == []
+
+
 @pytest.mark.parametrize(
     ("prompt", "text", "want"),
     [

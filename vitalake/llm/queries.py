@@ -13,17 +13,18 @@ from vitalake.llm.splits import grouped_split, pair_groups
 from vitalake.sources.tables import spread, table
 
 
+def _flagged(spark: SparkSession, folder: str) -> DataFrame:
+    return flag_responses(spread(table(spark, folder, "raw_llm_responses").select("response_id", "prompt", "text", "finish_reason")))
+
+
 def p1_defects(spark: SparkSession, folder: str) -> DataFrame:
     """Each defective response with every defect found, one a row."""
-    found = flag_responses(spread(table(spark, folder, "raw_llm_responses").select("response_id", "prompt", "text")))
-    return found.select("response_id", F.explode("defects").alias("defect"))
+    return _flagged(spark, folder).select("response_id", F.explode("defects").alias("defect"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each defective response with its defect."""
-    return flag_responses(spread(table(spark, folder, "raw_llm_responses").select("response_id", "prompt", "text"))).select(
-        "response_id", "defect"
-    )
+    return _flagged(spark, folder).select("response_id", "defect")
 
 
 def _groups(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from vitalake.llm.languages import language, script
 
@@ -49,10 +50,10 @@ REFUSALS = [
     r"\b(?:guidelines|policy|policies|rules|instructions) (?:keep|prevent|prohibit|don't allow|do not allow|forbid|stop|bar)\b",
     r"\bfalls outside\b|\boutside (?:of )?(?:what i|my)\b",
     r"\b(?:that|this) is not something (?:i|we)\b",
-    r"\bno prediction (?:can|could|will|is)\b",
+    r"\bno (?:prediction|forecast|answer|estimate|diagnosis|advice|opinion|assessment|response) (?:can|could|will|may|shall|is) be\b|\bno (?:prediction|forecast|answer) (?:can|could|will|is)\b",
     r"^\W*(?:\w+ ?: ?)?(?:thank you[^.]{0,40}\. )?(?:sorry|unfortunately)\b",
-    r"\bthis assistant\b|\bnot a (?:question|request|task) (?:i|this|that)\b",
-    r"\bforecasting a person's\b",
+    r"\bthis (?:assistant|model|system|tool|service|ai)\b|\bnot a (?:question|request|task) (?:i|this|that)\b",
+    r"\b(?:predicting|forecasting|diagnosing|estimating|judging) (?:an?|any|the|someone's|somebody's|individual|patients?|people's|health|medical)\b",
     r"\b(?:ich|wir) (?:kann|können|darf|dürfen|möchte|werde|muss|bin)\b.{0,80}\b(?:nicht|keine?n?|ablehnen|verzichten|außerstande)\b",
     r"\b(?:dazu|hierzu|das) (?:darf|kann|möchte|muss) ich\b",
     r"\bes tut mir leid\b|\bentschuldigung\b|\bals (?:ki|sprachmodell|modell|assistent)\w*\b|\bnicht möglich, (?:hier|ihnen|eine)\b|\bleider\b",
@@ -84,14 +85,17 @@ NOTHING = {"null", "none", "nan", "n", "na", "nil", "undefined", "empty", "blank
 _WORDS = re.compile(r"\w+")
 
 
-_HIDDEN = {c: None for c in range(0x10000) if c not in (9, 10) and unicodedata.category(chr(c)) in ("Cf", "Cc")}
+#: Format and control signs but tab and line end.
+_HIDDEN = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x10000) if c not in (9, 10) and unicodedata.category(chr(c)) in ("Cf", "Cc")) + "]")
 
 
 def _visible(text: str) -> str:
     """``text`` in one form of Unicode, without tags, format and control signs."""
     if text.isascii():
-        return _TAG.sub(" ", text.replace("\r", ""))
-    return _TAG.sub(" ", unicodedata.normalize("NFC", text)).translate(_HIDDEN)
+        text = text.replace("\r", "")
+        return _TAG.sub(" ", text) if "<" in text or "&" in text else text
+    text = unicodedata.normalize("NFC", text)
+    return _HIDDEN.sub("", _TAG.sub(" ", text) if "<" in text or "&" in text else text)
 
 
 def _plain(text: str) -> str:
@@ -157,38 +161,69 @@ def _copied(words: list[str], plain_prompt: str) -> float:
     return sum(runs) / len(runs)
 
 
-def all_defects(prompt: str | None, text: str | None) -> list[str]:
+#: What providers give as the reason where an answer was held back, or was cut at a number of tokens; fixed values.
+HELD_BACK = {"content_filter", "safety", "refusal", "blocked", "recitation", "prohibited_content"}
+CUT_SHORT = {"length", "max_tokens", "max_length", "token_limit"}
+#: To rule something out isn't to decline; fixed values.
+_RULES_OUT = re.compile(r"exclu|rule out|descart|ausschlie|écart|esclud|wyklucz|исключ|排除", re.I)
+
+
+def _declines(line: str, word: str) -> bool:
+    """Whether the word for yes or no at the begin of ``line`` belongs to a phrase that declines, or is put before one by a comma."""
+    if len(line) <= len(word) + (8 if line.isascii() else 2):
+        return False
+    low = line.lower()
+    after = low.index(word) + len(word)
+    found = _REFUSAL.search(low[after - len(word) : after + 160])
+    if not found:
+        return False
+    between = low[after : after - len(word) + found.start()]
+    if found.start() == 0:
+        return found.end() > len(word)
+    return between in (", ", ",", "，", "、") and not _RULES_OUT.search(low[after : after + 160])
+
+
+def all_defects(prompt: str | None, text: str | None, reason: str | None = None) -> list[str]:
     """All defects of ``text`` as an answer to ``prompt``, in the order of ``DEFECTS``; each rule is judged by itself.
 
-    Of a text without any word but marks, tags and words for nothing, only emptiness can be told.
+    ``reason`` is the provider's finish_reason, which may be wrong and is a hint only: an answer held back makes a
+    phrase that declines count even beside a word for yes or no, and of one cut short a number or a
+    single letter before a full stop is no end. Of a text without any word but marks, tags and words for nothing, only emptiness can be told.
     """
     if text is None:
         return ["empty"]
     seen = _visible(text)
     head, labelled = parts(seen)
     bodies = [b for _, b in labelled]
-    left = [w for w in _WORDS.findall(" ".join([head, *bodies]).lower()) if w not in NOTHING]
-    bare = [w for w in _WORDS.findall(seen.lower()) if w in _LABEL_NAMES]
+    body = " ".join([head, *bodies])
+    words = _WORDS.findall(seen.lower())
+    left = [w for w in (_WORDS.findall(body.lower()) if labelled else words) if w not in NOTHING]
+    few = len(left) <= 3
+    bare = [w for w in words if w in _LABEL_NAMES] if few else []
     if not left and not bare:
         return ["empty"]
     out = []
-    if not left or (len(left) <= 3 and all(w in _LABEL_NAMES for w in left) and len(bare) >= len(left)):
+    if not left or (few and all(w in _LABEL_NAMES for w in left) and len(bare) >= len(left)):
         out.append("empty")
+    hint = (reason or "").strip().lower()
     prompt = _visible(prompt or "")
     wanted, labels = asked(prompt)
     firsts = [b for x, b in labelled if any(i == 0 for _, i in _LABEL_LANGUAGES[x])]
-    answer = _answer_word(firsts[0]) if firsts else (_answer_word(seen) if not labelled else None)
-    if labelled and firsts and len(firsts[0].split()) > 2 and _REFUSAL.search(firsts[0].replace("’", "'")):
-        answer = None  # "No prediction can be offered" is no answer
-    if answer is None and not labels and any(_plain(x) in _ANSWER_LANGUAGES for x in seen.split("\n")):
-        answer = next(_plain(x) for x in seen.split("\n") if _plain(x) in _ANSWER_LANGUAGES)
-    if answer is None and _REFUSAL.search(" ".join([head, *bodies]).replace("’", "'")):
+    line = firsts[0] if firsts else ("" if labelled else seen)
+    answer = _answer_word(line) if line else None
+    body = body.replace("’", "'")
+    if answer and ((hint in HELD_BACK and _REFUSAL.search(body)) or _declines(line.replace("’", "'"), answer)):
+        answer = None
+    if answer is None and not labels:
+        lines = [_plain(x) for x in seen.split("\n") if len(x) < 40]
+        answer = next((x for x in lines if x in _ANSWER_LANGUAGES), None)
+    if answer is None and _REFUSAL.search(body):
         out.append("refusal")
-    if answer is None and _copied(_plain(seen).split(), f" {_plain(prompt)} ") >= COPIED:
+    if answer is None and _copied(words, f" {_plain(prompt)} ") >= COPIED:
         out.append("copy")
     if _other_language(wanted, head, labelled, answer):
         out.append("other_language")
-    if _truncated(seen, labels, labelled, answer):
+    if _truncated(seen, labels, labelled, answer, hint in CUT_SHORT):
         out.append("truncated")
     return out
 
@@ -198,9 +233,9 @@ def leading(found: list[str]) -> list[str]:
     return next(([x] for x in ("empty", "copy", "refusal") if x in found), found)
 
 
-def defects(prompt: str | None, text: str | None) -> list[str]:
+def defects(prompt: str | None, text: str | None, reason: str | None = None) -> list[str]:
     """The ``leading`` defects of ``text`` as an answer to ``prompt``, in the order of ``DEFECTS``."""
-    return leading(all_defects(prompt, text))
+    return leading(all_defects(prompt, text, reason))
 
 
 def _other_language(wanted: str | None, head: str, labelled: list[tuple[str, str]], answer: str | None) -> bool:
@@ -220,7 +255,10 @@ def _other_language(wanted: str | None, head: str, labelled: list[tuple[str, str
     return False
 
 
-def _truncated(seen: str, labels: tuple[str, ...], labelled: list[tuple[str, str]], answer: str | None) -> bool:
+_NO_END = re.compile(r"(?:\d|\b[^\W\d_])\.$")
+
+
+def _truncated(seen: str, labels: tuple[str, ...], labelled: list[tuple[str, str]], answer: str | None, cut: bool = False) -> bool:
     """Whether an answer stops before its end or before a line that was asked for."""
     there = {i for x, b in labelled for _, i in _LABEL_LANGUAGES[x] if _WORDS.search(b)}
     if labels:
@@ -230,6 +268,8 @@ def _truncated(seen: str, labels: tuple[str, ...], labelled: list[tuple[str, str
     else:
         end = seen
     end = end.rstrip(_CLOSERS)
+    if cut and not answer and _NO_END.search(end):
+        return True
     if seen.count("```") % 2 or seen.count("**") % 2:
         return True
     if seen.count("(") > seen.count(")"):
@@ -239,7 +279,9 @@ def _truncated(seen: str, labels: tuple[str, ...], labelled: list[tuple[str, str
     return bool(end) and end[-1] not in _ENDS
 
 
-def flag_responses(df: DataFrame, key: str = "response_id", prompt: str = "prompt", text: str = "text") -> DataFrame:
+def flag_responses(
+    df: DataFrame, key: str = "response_id", prompt: str = "prompt", text: str = "text", reason: str | None = "finish_reason"
+) -> DataFrame:
     """Each defective answer with all its defects: ``key``, ``defects`` (array), ``defect`` (the leading one).
 
     Rules over the whole text, each judged by itself: ``empty`` (null, blank, or only labels, marks, tags,
@@ -248,17 +290,20 @@ def flag_responses(df: DataFrame, key: str = "response_id", prompt: str = "promp
     word or reasoning of another language than the prompt) and ``truncated`` (an unclosed
     delimiter, an abrupt end, or a line missing that the prompt asks for).
     ``defect`` is emptiness, a copy or a refusal if found, else the first of the rest.
-    finish_reason isn't used, as it may be wrong.
+    ``reason`` names the column of the provider's reason to finish, a hint that decides nothing by itself; a table without that column has none.
 
     A null or empty prompt asks for nothing, so only emptiness, refusal and abrupt ends are
     found; rows with a null key are kept; repeated rows are judged one by one; an empty table
-    gives an empty one; further columns aren't looked at. Work is row by row, without a shuffle.
+    gives an empty one; further columns aren't looked at. Work is row by row in Arrow batches, without a
+    shuffle; prompts of blank answers aren't sent along.
     """
     kind = df.schema[key].dataType.simpleString()
+    why = df[reason].cast("string") if reason and reason in df.columns else F.lit(None).cast("string")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [all_defects(p, t) for p, t in zip(b["p"].to_pylist(), b["t"].to_pylist(), strict=True)]
+            columns = (b["p"].to_pylist(), b["t"].to_pylist(), b["r"].to_pylist())
+            found = [all_defects(p, t, r) for p, t, r in zip(*columns, strict=True)]
             hit = [i for i, f in enumerate(found) if f]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -269,6 +314,9 @@ def flag_responses(df: DataFrame, key: str = "response_id", prompt: str = "promp
                 names=[key, "defects", "defect"],
             )
 
-    return df.select(df[key].alias("k"), df[prompt].alias("p"), df[text].alias("t")).mapInArrow(
+    # A blank answer needs no prompt in Python.
+    blank = F.coalesce(df[text].rlike(r"^\s*$"), F.lit(True))
+    asked_for = F.when(~blank, df[prompt])
+    return df.select(df[key].alias("k"), asked_for.alias("p"), df[text].alias("t"), why.alias("r")).mapInArrow(
         judge, f"`{key}` {kind}, defects array<string>, defect string"
     )
