@@ -43,10 +43,11 @@ def regular_series(readings: DataFrame, keys: list[str], counter: bool = False,
     between two consecutive readings (the reading itself after a reset, that is a fall)
     is distributed over the slots in between in proportion to the overlap, and ``value``
     is the last reading so far. ``status`` is ``observed``, or ``uncovered`` in slots
-    without a reading; ``only_uncovered`` gives those alone, without going through the rest.
+    without a reading; ``only_uncovered`` gives those alone, without going through the rest: readings are then
+    reduced to the first and last of each slot before they are shuffled.
 
     Rows with a null key, t, value or period or with a t below 0 are left out. Of
-    several readings at one instant the largest counts as the last. Repeated rows don't
+    several readings at one instant the largest counts. Repeated rows don't
     change slots or increments; an empty table gives an empty one. A source is worked on
     in blocks of ``BLOCK_SLOTS`` slots.
     """
@@ -57,24 +58,31 @@ def regular_series(readings: DataFrame, keys: list[str], counter: bool = False,
         .withColumn("slot", F.floor(F.col("t") / F.col("period")))
     )
     block = F.floor(F.col("slot") / BLOCK_SLOTS)
-    if not counter:
-        slots = (
-            valid.groupBy(*keys, "slot")
-            .agg(
-                F.count(F.lit(1)).alias("n"),
-                F.avg("value").alias("mean"),
-                F.max(F.struct("t", "value")).alias("last"),
-            )
+    if only_uncovered or not counter:
+        slots = valid.groupBy(*keys, "slot").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.avg("value").alias("mean"),
+            F.max("period").alias("period"),
+            F.min(F.struct(F.col("t"), (-F.col("value")).alias("less"))).alias("first"),
+            F.max(F.struct("t", "value")).alias("last"),
         )
-        linked = blocked_previous(slots, keys, [F.col("slot")], block, F.struct("slot", F.col("last.value").alias("value")), "prior")
+        linked = blocked_previous(slots, keys, [F.col("slot")], block, F.struct("slot", "last"), "prior")
+        step = -F.col("first.less") - F.col("prior.last.value")
+        if counter:
+            step = F.when(step < 0, -F.col("first.less")).otherwise(step)
+        # A slot without a reading lies within the span between two readings as a whole.
+        rate = step / (F.col("first.t") - F.col("prior.last.t"))
         gaps = _unfold(
             linked.where(F.col("prior").isNotNull() & (F.col("slot") - F.col("prior.slot") > 1)).select(
-                *keys, F.col("prior.slot").alias("__from"), F.col("slot").alias("__to"), F.col("prior.value").alias("value")
+                *keys, F.col("prior.slot").alias("__from"), F.col("slot").alias("__to"), F.col("prior.last.value").alias("value"),
+                (rate * F.col("period")).alias("increment"),
             ),
             F.col("__from") + 1,
             F.col("__to") - 1,
             "slot",
-        ).select(*keys, "slot", F.lit(0).cast("bigint").alias("n"), "value", F.lit("uncovered").alias("status"))
+        ).select(*keys, "slot", F.lit(0).cast("bigint").alias("n"), "value", F.lit("uncovered").alias("status"), "increment")
+        if not counter:
+            gaps = gaps.drop("increment")
         if only_uncovered:
             return gaps
         return slots.select(*keys, "slot", "n", F.col("mean").alias("value"), F.lit("observed").alias("status")).unionByName(gaps)

@@ -84,21 +84,18 @@ def blocked_previous(
 ) -> DataFrame:
     """``df`` with ``name``: ``value`` of the row before, within ``keys``.
 
-    Rows with a null key are not related to each other's blocks and see only
-    their own block. ``order`` must be total for a defined result.
+    ``block`` must rise with the order and follow from the row. Rows are related within their block; the first and last
+    rows of blocks, two of each at most, then across blocks. A null key is a key of
+    its own. ``order`` must be total for a defined result.
     """
-    b, v, last, first = f"__{name}_block", f"__{name}_v", "__last", "__first"
+    b, v = f"__{name}_block", f"__{name}_v"
     df = df.withColumn(b, block).withColumn(v, value)
     inside = Window.partitionBy(*keys, b).orderBy(*order)
-    ends = (
-        df.groupBy(*keys, b)
-        .agg(F.max_by(F.struct(v), F.struct(*order)).alias(last))
-        .withColumn(first, F.lag(last).over(Window.partitionBy(*keys).orderBy(b)))
-        .select(*keys, b, F.col(f"{first}.{v}").alias(first))
-    )
-    return (
-        df.join(ends, [*keys, b], "left")
-        .withColumn("__rn", F.row_number().over(inside))
-        .withColumn(name, F.when(F.col("__rn") == 1, F.col(first)).otherwise(F.lag(v).over(inside)))
-        .drop(b, v, first, "__rn")
+    within = (
+        df.withColumn("__rn", F.row_number().over(inside))
+        .withColumn("__end", F.lead(F.lit(1)).over(inside).isNull())
+        .withColumn(name, F.lag(v).over(inside))
     )
+    across = Window.partitionBy(*keys).orderBy(F.col(b).asc_nulls_first(), "__rn")
+    firsts = within.where("__rn = 1 or __end").withColumn(name, F.lag(v).over(across)).where("__rn = 1")
+    return within.where("__rn > 1").unionByName(firsts).drop(b, v, "__rn", "__end")

@@ -20,15 +20,19 @@ def _gridded(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Slots without a value between the first and the last slot with one."""
-    return regular_series(_gridded(spark, folder), ["stay_id", "itemid"], only_uncovered=True).select(
+    """Slots without a value between the first and the last slot with one.
+
+    What the method gives a slot beside its mark, the share of the increase, isn't asked for here.
+    """
+    return regular_series(_gridded(spark, folder), ["stay_id", "itemid"], counter=True, only_uncovered=True).select(
         "stay_id", "itemid", "slot"
     )
 
 
 def p2_series(spark: SparkSession, folder: str) -> DataFrame:
     """The whole series: a row for each slot, marked as observed or uncovered."""
-    return regular_series(_gridded(spark, folder), ["stay_id", "itemid"])
+    series = regular_series(_gridded(spark, folder), ["stay_id", "itemid"])
+    return series.withColumn("value", F.round("value", 6))
 
 
 def p2_counter(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,7 +50,9 @@ def p2_counter(spark: SparkSession, folder: str) -> DataFrame:
     )
     hour = 3_600_000_000
     counter = running_amount(spans, ["stay_id", "itemid"], hour).withColumn("period", F.lit(hour))
-    return regular_series(counter, ["stay_id", "itemid"], counter=True)
+    series = regular_series(counter, ["stay_id", "itemid"], counter=True)
+    # A little more, so that no number lies between two roundings.
+    return series.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("value", "increment")})
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

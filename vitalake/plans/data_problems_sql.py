@@ -77,6 +77,33 @@ slots AS (
 linked AS (
   SELECT *, lead(slot) OVER (PARTITION BY stay_id, itemid ORDER BY slot) AS following FROM slots)
 SELECT stay_id, itemid, unnest(range(slot + 1, following)) AS slot FROM linked WHERE following > slot + 1
+""",
+    "p2_series": f"""
+WITH {_CHART},
+r AS (SELECT stay_id, itemid, t // (grid_minutes * 60000000::BIGINT) AS slot, t, valuenum AS v FROM chart JOIN d_items USING (itemid) WHERE NOT missing AND t >= 0),
+s AS (SELECT stay_id, itemid, slot, count(*) AS n, avg(v) AS mean, arg_max(v, (t, v)) AS latest FROM r GROUP BY 1, 2, 3),
+l AS (SELECT *, lead(slot) OVER (PARTITION BY stay_id, itemid ORDER BY slot) AS following FROM s)
+SELECT stay_id, itemid, slot, n, round(mean, 6) AS value, 'observed' AS status FROM s
+UNION ALL SELECT stay_id, itemid, unnest(range(slot + 1, following)), 0, round(latest, 6), 'uncovered' FROM l WHERE following > slot + 1
+""",
+    "p2_counter": """
+WITH g AS (
+  SELECT DISTINCT stay_id, itemid, orderid, epoch_us(starttime) AS s, epoch_us(endtime) AS e, amount FROM preproc_med_icu
+  WHERE amount > 0 AND endtime > starttime AND stay_id IS NOT NULL),
+o AS (SELECT stay_id, min(s) AS origin FROM g GROUP BY 1),
+-- Each span by itself: the amount given by a time is the sum of the parts of all spans up to it.
+spans AS (SELECT stay_id, itemid, s - origin AS s, e - origin AS e, amount FROM g JOIN o USING (stay_id)),
+b AS (SELECT stay_id, itemid, s AS t FROM spans UNION SELECT stay_id, itemid, e FROM spans),
+total AS (
+  SELECT b.stay_id, b.itemid, t, sum(amount * greatest(0, least(t, e) - s) / (e - s)::DOUBLE) AS v FROM b JOIN spans USING (stay_id, itemid) GROUP BY 1, 2, 3),
+seen AS (SELECT stay_id, itemid, t // 3600000000 AS slot, count(*) AS n, arg_max(v, t) AS v FROM total GROUP BY 1, 2, 3),
+slots AS (SELECT stay_id, itemid, unnest(range(min(slot), max(slot) + 1)) AS slot FROM seen GROUP BY 1, 2),
+parts AS (
+  SELECT k.stay_id, k.itemid, k.slot, sum(amount * (least(e, (k.slot + 1) * 3600000000) - greatest(s, k.slot * 3600000000)) / (e - s)::DOUBLE) AS increment
+  FROM slots k JOIN spans p ON p.stay_id = k.stay_id AND p.itemid = k.itemid AND s < (k.slot + 1) * 3600000000 AND e > k.slot * 3600000000 GROUP BY 1, 2, 3)
+SELECT stay_id, itemid, slot, coalesce(n, 0) AS n, round(last_value(v IGNORE NULLS) OVER (PARTITION BY stay_id, itemid ORDER BY slot ROWS UNBOUNDED PRECEDING) + 1e-9, 6) AS value,
+  CASE WHEN n > 0 THEN 'observed' ELSE 'uncovered' END AS status, round(coalesce(increment, 0) + 1e-9, 6) AS increment
+FROM slots LEFT JOIN seen USING (stay_id, itemid, slot) LEFT JOIN parts USING (stay_id, itemid, slot)
 """,
     "p3_found": f"WITH {_CHART} SELECT row_id FROM chart WHERE missing",
     "p4_found": """
