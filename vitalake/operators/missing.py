@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A stand-in makes up this share of the rows outside all bounds at least, so there are 50 at most.
-LEAST_SHARE = 0.02
+#: A stand-in makes up this share of the rows outside all bounds at least, so there are 200 at most.
+LEAST_SHARE = 0.005
 
 
 def stand_ins(df: DataFrame, item: str, value: str, low: float, high: float) -> list[float]:
-    """The fixed numbers that stand for a missing value, at most 50.
+    """The fixed numbers that stand for a missing value, at most 200.
 
     Such a number is outside ``low`` to ``high`` (the widest bounds of any item), is
     among the commonest numbers there and is used with at least half as many items

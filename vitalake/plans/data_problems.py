@@ -57,7 +57,7 @@ def p2_counter(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every reading without a value, by the operator that fills it."""
-    return p3_filled(spark, folder).where("filled").select("row_id")
+    return p3_filled(spark, folder).select("row_id")
 
 
 def p3_filled(spark: SparkSession, folder: str) -> DataFrame:

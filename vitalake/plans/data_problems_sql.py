@@ -26,7 +26,7 @@ stand AS (
     GROUP BY 1), (
     SELECT count(*) AS rows_, count(DISTINCT itemid) AS all_items FROM preproc_chart_icu
     WHERE NOT isnan(valuenum) AND (valuenum < (SELECT min(physical_low) FROM d_items) OR valuenum > (SELECT max(physical_high) FROM d_items)))
-  WHERE n >= 3 AND n >= 0.02 * rows_ AND items >= 0.5 * least(n, all_items)),
+  WHERE n >= 3 AND n >= 0.005 * rows_ AND items >= 0.5 * least(n, all_items)),
 chart AS (
   SELECT row_id, stay_id, itemid, valuenum, {_T} AS t,
          valuenum IS NULL OR isnan(valuenum) OR valuenum IN (SELECT v FROM stand) AS missing
