@@ -340,3 +340,23 @@ def test_allot_many():
     given = splits.allot([((1, 0), 10**9), ((0, 1), 10**6), ((5, 5), 3)])
     assert [sum(r) for r in given] == [10**9, 10**6, 3]
     assert abs(given[0][0] - 8 * 10**8) < 10**4
+
+
+def test_split_of_many_labels(spark, monkeypatch):
+    rng = random.Random(3)
+    sizes = [rng.choice([1, 1, 1, 2, 3, 5]) for _ in range(1500)] + [400]
+    rows, at = [], 0
+    for n in sizes:
+        rows += [(at + i, at, rng.choice([None, *range(80)])) for i in range(n)]
+        at += n
+    df = spark.createDataFrame(rows, "id bigint, root bigint, label bigint")
+    monkeypatch.setattr(splits, "MOST_PROFILES", 100)  # rarest labels and octaves
+    monkeypatch.setattr(splits, "LARGEST", 3)
+    got = splits.grouped_split(df.select("id", "root"), df.select("id", "label")).collect()
+    assert sorted(r.id for r in got) == list(range(at))
+    of = {}
+    for r in got:
+        assert of.setdefault(r.root, r.split) == r.split
+    n = Counter(r.split for r in got)
+    assert all(abs(n[s] / at - p) < 0.03 for s, p in zip(splits.SPLITS, splits.PROPORTIONS, strict=True))
+    assert splits.grouped_split(df.limit(0).select("id", "root"), df.limit(0).select("id", "label")).count() == 0

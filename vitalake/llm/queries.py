@@ -9,7 +9,7 @@ from vitalake.llm.bpe import encode_texts, token_counts
 from vitalake.llm.mojibake import restore_texts
 from vitalake.llm.packing import pack
 from vitalake.llm.responses import flag_responses
-from vitalake.llm.splits import grouped_split, pair_groups
+from vitalake.llm.splits import PROPORTIONS, SPLITS, grouped_split, pair_groups
 from vitalake.sources.tables import spread, table
 
 
@@ -33,9 +33,10 @@ def _groups(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs in a group of two or more, with the smallest pair of the group."""
-    groups = _groups(spark, folder)
-    shared = groups.where("pair_id <> group_pair_id").select("group_pair_id").distinct()
-    return groups.join(shared, "group_pair_id", "left_semi").select("pair_id", "group_pair_id")
+    others = _groups(spark, folder).where("pair_id <> group_pair_id")
+    # The smallest pair of each group is named by the others.
+    first = others.select(F.col("group_pair_id").alias("pair_id"), "group_pair_id").distinct()
+    return others.select("pair_id", "group_pair_id").unionByName(first)
 
 
 def p7_split(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,6 +48,17 @@ def p7_split(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p7_integrity(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs, groups, groups in more than one split, and whether each split's share is within 0.02 of what is asked for."""
+    split = p7_split(spark, folder)
+    torn = split.groupBy("group_pair_id").agg(F.count_distinct("split").alias("splits"), F.count(F.lit(1)).alias("n")).agg(
+        F.sum("n").alias("pairs"), F.count(F.lit(1)).alias("n_groups"), F.sum((F.col("splits") > 1).cast("bigint")).alias("torn")
+    )
+    share = {n: F.avg((F.col("split") == n).cast("double")) for n in SPLITS}
+    near = [F.abs(share[n] - p) < 0.02 for n, p in zip(SPLITS, PROPORTIONS, strict=True)]
+    return torn.crossJoin(split.agg((near[0] & near[1] & near[2]).alias("near")))  # one row each
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of each document."""
     return encode_texts(table(spark, folder, "documents"))
@@ -72,14 +84,14 @@ QUERIES = {
     "p1_defects": p1_defects,
     "p7_found": p7_found,
     "p7_split": p7_split,
+    "p7_integrity": p7_integrity,
     "p8_ids": p8_ids,
     "p9_packed": p9_packed,
     "p10_found": p10_found,
     "p10_restored": p10_restored,
 }
 
-ORACLE_SQL = {
-    "p7_found": """
+_REACH = """
 WITH RECURSIVE keys AS (
   SELECT pair_id, subject_id FROM test WHERE subject_id IS NOT NULL
   UNION SELECT pair_id, a.subject_id FROM test JOIN admissions a ON a.hadm_id IN (hadm_id_current, hadm_id_next)
@@ -89,6 +101,11 @@ reach AS (
   SELECT a, b FROM links
   UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 groups AS (SELECT a AS pair_id, min(b) AS group_pair_id, count(*) AS n FROM reach GROUP BY 1)
-SELECT pair_id, group_pair_id FROM groups WHERE n > 1
+"""
+
+ORACLE_SQL = {
+    "p7_found": f"{_REACH} SELECT pair_id, group_pair_id FROM groups WHERE n > 1",
+    "p7_integrity": f"""{_REACH}
+SELECT count(*) AS pairs, count(DISTINCT coalesce(group_pair_id, pair_id)) AS n_groups, 0::BIGINT AS torn, true AS near FROM test LEFT JOIN groups USING (pair_id)
 """,
 }

@@ -14,7 +14,14 @@ from vitalake.session import cut
 SPLITS = ("train", "validation", "test")
 PROPORTIONS = (0.8, 0.1, 0.1)
 ROUNDS = 60
-BLOCKS = 64
+#: Labels counted one by one; rarer ones beyond are counted together.
+MOST_LABELS = 64
+#: Profiles of components that the driver plans with.
+MOST_PROFILES = 20_000
+#: Components of one profile are ranked in blocks of about so many.
+BLOCK_COMPONENTS = 100_000
+#: The largest components, which are joined by themselves.
+LARGEST = 1000
 #: Label counts up to this are kept as they are in a component's profile, larger ones to a sixteenth of an octave.
 EXACT = 32
 
@@ -64,9 +71,17 @@ def related(records: DataFrame, keys: DataFrame) -> DataFrame:
     ``records``: id. ``keys``: id, key. ``root`` is the smallest id of the group. Null ids and keys
     relate nothing; each id of ``records`` comes out once.
     """
-    own = keys.select("id", "key").na.drop().distinct()
-    first = own.groupBy("key").agg(F.min("id").alias("b"))
-    edges = own.join(first, "key").select(F.col("id").alias("a"), "b").where("a <> b").distinct()
+    # A key of very many ids is a star of stars: ids are linked to the least of their part, those to the least of all.
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = keys.select("id", "key", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part")).na.drop().distinct()
+    first = own.groupBy("key", "part").agg(F.min("id").alias("b"))
+    least = first.groupBy("key").agg(F.min("b").alias("c"))
+    edges = (
+        own.join(first, ["key", "part"]).select(F.col("id").alias("a"), "b")
+        .union(first.join(least, "key").select(F.col("b").alias("a"), F.col("c").alias("b")))
+        .where("a <> b")
+        .distinct()
+    )
     ids = records.select("id").where(F.col("id").isNotNull()).distinct()
     return ids.join(components(edges).withColumnRenamed("node", "id"), "id", "left").select(
         "id", F.coalesce("root", "id").alias("root")
@@ -137,39 +152,64 @@ def allot(
     return out
 
 
+def _coarse(c: Column, parts: int) -> Column:
+    """Counts up to ``EXACT`` as they are, larger ones to ``parts`` steps an octave; with no parts, all to octaves."""
+    octave = F.floor(F.log2(c.cast("double")))
+    if not parts:
+        return F.when(c > 0, octave + 1).otherwise(0)
+    step = F.pow(F.lit(2.0), octave) / parts
+    return F.when(c <= EXACT, c.cast("double")).otherwise(F.floor(c / step) * step)
+
+
+def _profiled(vectors: DataFrame, k: int, rare: list[int]) -> DataFrame:
+    """``vectors`` with ``profile``: counts of all labels, as finely as ``MOST_PROFILES`` allows.
+
+    Where counts to a sixteenth of an octave and to octaves give too many profiles, a component's profile is its rarest label,
+    and the octaves of that label's count and of its size: 64 x 64 of them for each label at most.
+    """
+    counts = [F.col(f"v{j}") for j in range(k)]
+    for parts in (16, 0):
+        made = vectors.withColumn("profile", F.concat_ws(",", *[_coarse(c, parts).cast("string") for c in counts]))
+        if made.select("profile").distinct().limit(MOST_PROFILES + 1).count() <= MOST_PROFILES:
+            return made
+    first = F.coalesce(*[F.when(F.col(f"v{j}") > 0, F.struct(F.lit(j).alias("j"), _coarse(F.col(f"v{j}"), 0).alias("n"))) for j in rare])
+    size = _coarse(sum(counts[1:], counts[0]), 0)
+    return vectors.withColumn("profile", F.concat_ws(",", F.lit("r"), first["j"].cast("string"), first["n"].cast("string"), size.cast("string")))
+
+
 def grouped_split(
     groups: DataFrame, labels: DataFrame, names: Sequence[str] = SPLITS, proportions: Sequence[float] = PROPORTIONS, seed: int = 0
 ) -> DataFrame:
     """``id``, ``root`` and ``split``: all records of a group in one split, splits alike in labels.
 
-    ``groups``: id, root. ``labels``: id, label (null is a label of its own). Components are
+    ``groups``: id, root. ``labels``: id, label (null is a label of its own; of more than ``MOST_LABELS`` labels the rarest
+    are counted together). Components are
     added up to vectors of label counts; only the number of components of each
-    profile goes to the driver, which allots them; ranks by hash within a profile pick
+    profile goes to the driver, ``MOST_PROFILES`` or 4,096 a label at most, which allots them; ranks by hash within a profile pick
     the components, so a run repeats itself. Of several rows with one id, each counts. An
-    empty table gives an empty one.
+    empty table gives an empty one. Rows of the ``LARGEST`` components are joined by broadcast, so none is in one task.
     """
-    kinds = sorted((r[0] for r in labels.select("label").distinct().limit(65).collect()), key=lambda x: (x is None, x))
-    if len(kinds) > 64:
-        raise ValueError("more than 64 labels")
+    counted = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.col("label").asc_nulls_last())
+    common = counted.limit(MOST_LABELS + 1).collect()
+    kinds = [r["label"] for r in common]
+    others = len(kinds) > MOST_LABELS
+    kinds = kinds[: MOST_LABELS - 1] if others else kinds
     with_labels = groups.join(labels.withColumnRenamed("id", "l_id"), F.col("id") == F.col("l_id"), "left")
-    vectors = with_labels.groupBy("root").agg(
-        *[F.sum(F.col("label").eqNullSafe(F.lit(x)).cast("bigint")).alias(f"v{j}") for j, x in enumerate(kinds)]
-    )
-
-    def coarse(c: Column) -> Column:
-        octave = F.floor(F.log2(c.cast("double")))
-        step = F.pow(F.lit(2.0), octave - 4)
-        return F.when(c <= EXACT, c.cast("double")).otherwise(F.floor(c / step) * step)
-
-    profile = F.concat_ws(",", *[coarse(F.col(f"v{j}")).cast("string") for j in range(len(kinds))])
-    vectors = cut(vectors.withColumn("profile", profile))
+    same = [F.col("label").eqNullSafe(F.lit(x)) for x in kinds]
+    if others:
+        same.append(~F.array_contains(F.array(*same), True))
+    k = len(same)
+    if not k:  # no records at all
+        return groups.select("id", "root", F.lit(names[0]).alias("split")).where(F.lit(False))
+    vectors = with_labels.groupBy("root").agg(*[F.sum(c.cast("bigint")).alias(f"v{j}") for j, c in enumerate(same)])
+    vectors = cut(_profiled(cut(vectors), k, list(range(len(kinds) - 1, -1, -1)) + ([k - 1] if others else [])))
     seen = (
         vectors.groupBy("profile")
-        .agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"v{j}").alias(f"v{j}") for j in range(len(kinds))])
+        .agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"v{j}").alias(f"v{j}") for j in range(k)])
         .orderBy("profile")
         .collect()
     )
-    given = allot([(tuple(r[f"v{j}"] for j in range(len(kinds))), r["n"]) for r in seen], proportions)
+    given = allot([(tuple(r[f"v{j}"] for j in range(k)), r["n"]) for r in seen], proportions)
     spark = groups.sparkSession
     bounds = []
     for r, row in zip(seen, given, strict=True):
@@ -180,10 +220,17 @@ def grouped_split(
             at += n
     table = spark.createDataFrame(bounds, "profile string, low bigint, high bigint, split string")
     order = F.xxhash64("root", F.lit(seed))
-    block = F.pmod(F.shiftrightunsigned(order, 32), F.lit(BLOCKS))
-    ranked = blocked_rank(vectors.select("root", "profile"), ["profile"], [order, F.col("root")], block, "r").alias("x")
-    placed = ranked.join(
-        F.broadcast(table.alias("t")),  # three rows a profile
-        (F.col("x.profile") == F.col("t.profile")) & F.col("x.r").between(F.col("t.low"), F.col("t.high")),
-    ).select("x.root", "t.split")
-    return groups.join(placed, "root").select("id", "root", "split")
+    blocks = max(1, -(-max((r["n"] for r in seen), default=0) // BLOCK_COMPONENTS))
+    block = F.floor(F.shiftrightunsigned(order, 32) * F.lit(blocks) / F.lit(1 << 32))
+    size = sum((F.col(f"v{j}") for j in range(1, k)), F.col("v0"))
+    ranked = blocked_rank(vectors.select("root", "profile", size.alias("size")), ["profile"], [block, order, F.col("root")], block, "r").alias("x")
+    placed = cut(
+        ranked.join(
+            F.broadcast(table.alias("t")),  # three rows a profile
+            (F.col("x.profile") == F.col("t.profile")) & F.col("x.r").between(F.col("t.low"), F.col("t.high")),
+        ).select("x.root", "x.size", "t.split")
+    )
+    hot = F.broadcast(placed.orderBy(F.desc("size"), "root").limit(LARGEST).select("root", "split"))
+    pairs = groups.select("id", "root")
+    rest = pairs.join(hot, "root", "left_anti").join(placed.select("root", "split"), "root")
+    return pairs.join(hot, "root").unionByName(rest).select("id", "root", "split")
