@@ -324,3 +324,36 @@ def test_impute_chained(spark):
     spread = np.std([out[i].b - 2 * r[1] for i, r in hidden.items()])
     assert spread > 0.02  # residual variation is kept
     assert impute_chained(df.limit(0), "id", ["a"], {"c": ["cold"]}).count() == 0
+
+
+def test_stuck_by_vanishing_innovations(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(80, 2, 60)
+    v[20:40] = 80 + rng.normal(0, 1e-6, 20)
+    rows = [(i, 1, 7, i * HOUR, float(x)) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "row_id bigint, stay_id bigint, itemid bigint, t bigint, value double")
+    items = spark.createDataFrame([(7, 0.0, 300.0, "vital", 60)], "itemid bigint, physical_low double, physical_high double, category string, grid_minutes int")
+    stuck = lambda **k: sorted(r.row_id for r in faulty_readings(df, items, **k).collect() if r.kind == "stuck")
+    assert stuck() == list(range(20, 40))
+    assert stuck(vanishing=0.0) == []
+
+
+def test_flags_do_not_depend_on_the_cuts(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    v = np.round(80 + np.cumsum(rng.normal(0, 0.2, 3000)) + rng.normal(0, 1, 3000), 1)
+    for at in rng.choice(np.arange(20, 2980, 20), 60, replace=False):
+        v[at : at + rng.integers(1, 4)] += 40
+    for at in (500, 1021, 2044):
+        v[at : at + 7] = v[at]
+    t = np.cumsum(rng.integers(1, 5, 3000)) * HOUR
+    df = spark.createDataFrame([(i, 1, 7, int(a), float(x)) for i, (a, x) in enumerate(zip(t, v, strict=True))], "row_id bigint, stay_id bigint, itemid bigint, t bigint, value double")
+    items = spark.createDataFrame([(7, 0.0, 300.0, "vital", 60)], "itemid bigint, physical_low double, physical_high double, category string, grid_minutes int")
+    found = {}
+    for size in (10_000, 1024, 700, 311):
+        monkeypatch.setattr(spikes, "BLOCK_READINGS", size)
+        found[size] = {(r.row_id, r.kind) for r in faulty_readings(df, items).collect()}
+    whole = found[10_000]
+    assert len(whole) > 100
+    for size in (1024, 700, 311):
+        assert {x for x in found[size] if x[1] == "stuck"} == {x for x in whole if x[1] == "stuck"}
+        assert len(found[size] ^ whole) <= 0.02 * len(whole)

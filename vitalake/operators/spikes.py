@@ -14,6 +14,8 @@ from vitalake.operators.ranks import blocked_dense_rank
 STUCK_RUN = 6
 SPIKE_RUN = 3
 THRESHOLD = 6.0
+#: Innovations up to this share of the usual one count as none.
+VANISHING = 1e-3
 #: A source is cut into blocks of this many readings; so many readings on either side
 #: are given along, more than ``STUCK_RUN`` and enough for the filter to settle.
 BLOCK_READINGS = 1024
@@ -80,6 +82,21 @@ def _filter(t: list[int], x: list[float], sigma: float, threshold: float) -> lis
     return found
 
 
+def _tolerance(innovation: np.ndarray, change: np.ndarray, vanishing: float) -> np.ndarray | float:
+    """``vanishing`` times the usual innovation of the source, for each innovation; of a source without any, 0."""
+    if not vanishing:
+        return 0.0
+    at = np.r_[np.flatnonzero(change), len(change)]
+    out = np.zeros(len(innovation))
+    for a, b in zip(at, at[1:], strict=False):
+        moved = innovation[a : b - 1]
+        moved = moved[moved > 0]
+        if len(moved):
+            # Half of the larger ones tell the source's scatter, also where most readings are stuck.
+            out[a : b - 1] = vanishing * np.median(moved[moved >= 0.01 * moved.max()])
+    return out
+
+
 def flag_sources(
     source: np.ndarray,
     t: np.ndarray,
@@ -88,6 +105,7 @@ def flag_sources(
     high: np.ndarray,
     setting: np.ndarray,
     threshold: float = THRESHOLD,
+    vanishing: float = VANISHING,
 ) -> np.ndarray:
     """Kinds of readings, sorted by source, time and value.
 
@@ -101,8 +119,9 @@ def flag_sources(
     change, t, v, low, high, setting, source = (a[new] for a in (change, t, v, low, high, setting, source))
     kind = np.zeros(len(t), np.int8)
     wrong = (v < low) | (v > high)
-    # Innovations against the last reading vanish: a run of the very same value.
-    starts = np.flatnonzero(change | np.r_[True, v[1:] != v[:-1]])
+    # Innovations against the last reading: in a run none of them is above the tolerance, so their variance vanishes.
+    innovation = np.abs(np.diff(v))
+    starts = np.flatnonzero(change | np.r_[True, innovation > _tolerance(innovation, change, vanishing)])
     run = np.diff(np.r_[starts, len(v)])
     held = np.repeat(run >= STUCK_RUN, run)
     kind[held & ~setting] = STUCK
@@ -128,13 +147,15 @@ def faulty_readings(
     readings: DataFrame,
     items: DataFrame,
     threshold: float = THRESHOLD,
+    vanishing: float = VANISHING,
 ) -> DataFrame:
     """Faulty readings of ``readings`` as ``row_id`` and ``kind``.
 
     ``readings``: row_id, stay_id, itemid, t (microseconds), value; a source is one
     item of one stay. ``items``, a fixed table: itemid, physical_low, physical_high,
     category, grid_minutes. Kinds: ``impossible`` (outside the bounds), ``stuck`` (six or
-    more readings in a row of the very same value, but for settings) and ``spike``
+    more readings in a row whose innovations vanish, that is are ``vanishing`` times the source's usual one at most, with 0 for the
+    very same value; but for settings) and ``spike``
     (one to three readings in a row off the level before and after by more than
     ``threshold`` times the usual scatter; not for settings).
 
@@ -188,7 +209,7 @@ def faulty_readings(
         )
         ids_of, at = np.unique(item, return_inverse=True)
         bounds = np.array([known.get(int(i), (-np.inf, np.inf, False)) for i in ids_of], float).reshape(-1, 3)[at]
-        kind = flag_sources(source, t, v, bounds[:, 0], bounds[:, 1], bounds[:, 2] > 0, threshold)
+        kind = flag_sources(source, t, v, bounds[:, 0], bounds[:, 1], bounds[:, 2] > 0, threshold, vanishing)
         hit = np.flatnonzero((kind != NONE) & own)
         return pa.RecordBatch.from_arrays(
             [pa.array(ids[hit]), pa.array(KINDS[kind[hit]], pa.string())], names=["row_id", "kind"]

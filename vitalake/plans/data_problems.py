@@ -108,8 +108,13 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Impossible, stuck and leaping readings."""
-    return faulty_readings(readings(spark, folder).where("not missing and t is not null"), items(spark, folder))
+    """Impossible, stuck (of the very same value) and leaping readings."""
+    return faulty_readings(readings(spark, folder).where("not missing and t is not null"), items(spark, folder), vanishing=0.0)
+
+
+def p6_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """The impossible and stuck readings among them, which SQL can tell, too."""
+    return p6_found(spark, folder).where("kind <> 'spike'")
 
 
 QUERIES = {
@@ -123,4 +128,5 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_converted": p5_converted,
     "p6_found": p6_found,
+    "p6_exact": p6_exact,
 }

@@ -106,6 +106,17 @@ SELECT stay_id, itemid, slot, coalesce(n, 0) AS n, round(last_value(v IGNORE NUL
 FROM slots LEFT JOIN seen USING (stay_id, itemid, slot) LEFT JOIN parts USING (stay_id, itemid, slot)
 """,
     "p3_found": f"WITH {_CHART} SELECT row_id FROM chart WHERE missing",
+    "p6_exact": f"""
+WITH {_CHART},
+r AS (SELECT row_id, stay_id, itemid, t, valuenum AS v, coalesce(valuenum < physical_low, false) OR coalesce(valuenum > physical_high, false) AS wrong, category = 'setting' AS fixed
+      FROM chart LEFT JOIN (SELECT * FROM d_items WHERE linksto = 'chartevents') USING (itemid) WHERE NOT missing AND t IS NOT NULL AND stay_id IS NOT NULL AND itemid IS NOT NULL),
+d AS (SELECT DISTINCT stay_id, itemid, t, v FROM r),
+m AS (SELECT *, CASE WHEN v = lag(v) OVER w THEN 0 ELSE 1 END AS opens FROM d WINDOW w AS (PARTITION BY stay_id, itemid ORDER BY t, v)),
+k AS (SELECT *, sum(opens) OVER (PARTITION BY stay_id, itemid ORDER BY t, v ROWS UNBOUNDED PRECEDING) AS run FROM m),
+n AS (SELECT stay_id, itemid, t, v, count(*) OVER (PARTITION BY stay_id, itemid, run) AS len FROM k)
+SELECT row_id, CASE WHEN wrong THEN 'impossible' ELSE 'stuck' END AS kind FROM r JOIN n USING (stay_id, itemid, t, v)
+WHERE wrong OR (len >= 6 AND NOT coalesce(fixed, false))
+""",
     "p4_found": """
 WITH spans AS (
   SELECT DISTINCT stay_id, starttime AS s, endtime AS e FROM preproc_med_icu
