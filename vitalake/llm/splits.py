@@ -83,7 +83,7 @@ def related(records: DataFrame, keys: DataFrame) -> DataFrame:
         .distinct()
     )
     ids = records.select("id").where(F.col("id").isNotNull()).distinct()
-    return ids.join(components(edges).withColumnRenamed("node", "id"), "id", "left").select(
+    return ids.join(components(cut(edges)).withColumnRenamed("node", "id"), "id", "left").select(
         "id", F.coalesce("root", "id").alias("root")
     )
 
