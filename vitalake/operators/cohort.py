@@ -109,3 +109,29 @@ def labelled(visits: DataFrame, task: str, e: Entity = Entity(), **how) -> DataF
     if task == "mortality":
         return mortality(visits, how["death"], e)[0]
     raise ValueError(f"unknown task {task}")
+
+
+def window_index(low: Column, high: Column, shift: Column, first: int = 2008, last: int = 2019) -> Column:
+    """The number of a three-year window, ``low`` to ``high`` moved by ``shift``, from 0 for that beginning in ``first``; null outside."""
+    a, b = low + shift, high + shift
+    return F.when((a >= first) & (a <= last - 2) & (b >= first + 2) & (b <= last), a - first)
+
+
+def days_into_year(at: Column) -> Column:
+    """Whole days since the begin of the year."""
+    return F.datediff(F.to_date(at), F.trunc(F.to_date(at), "year"))
+
+
+def window_valid(last_year: Column, limit: int) -> Column:
+    """Whether a window ends by ``limit``; null isn't valid."""
+    return F.coalesce(last_year <= limit, F.lit(False))
+
+
+def birth_year(anchor_year: Column, anchor_age: Column) -> Column:
+    """The year of birth from an anchor."""
+    return anchor_year - anchor_age
+
+
+def phenotype(visits: DataFrame, events: DataFrame, visit: str, code: Column, pattern: str, gap_days: int, e: Entity = Entity()) -> DataFrame:
+    """Readmission within ``gap_days`` of all visits, kept for those with a code that matches ``pattern``."""
+    return readmission(visits, gap_days, e).join(with_code(events, visit, code, pattern), visit, "left_semi")

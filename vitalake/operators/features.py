@@ -122,3 +122,55 @@ def top_by_subjects(events: DataFrame, code: str, subject: str, n: int) -> DataF
 def rank_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn") -> DataFrame:
     """``df`` with the place of a row within its keys, from 1."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def top_by_total(events: DataFrame, code: str, n: int) -> DataFrame:
+    """The ``n`` codes with most events, with their ``total``."""
+    return events.where(F.col(code).isNotNull()).groupBy(code).agg(F.count(F.lit(1)).alias("total")).orderBy(F.desc("total"), code).limit(n)
+
+
+def head(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows in a total order, so that a run repeats itself."""
+    return df.orderBy(*order).limit(n)
+
+
+def of_kinds(df: DataFrame, column: str, kinds: list) -> DataFrame:
+    """Rows whose ``column`` is one of ``kinds``; null is none."""
+    return df.where(F.col(column).isin(kinds))
+
+
+def with_group_max(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """``df`` with the greatest ``value`` of its key; keys are reduced first, and null keys have none."""
+    most = df.groupBy(key).agg(F.max(value).alias(name))
+    return df.join(most, key, "left")
+
+
+def means_by(df: DataFrame, part: str, columns: list[str]) -> DataFrame:
+    """Rows and the mean of each column by ``part``."""
+    return df.groupBy(part).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col(c).cast("double")).alias(f"mean_{c}") for c in columns])
+
+
+def largest_group(df: DataFrame, key: str, *sizes: Column) -> DataFrame:
+    """One row: the greatest of each of ``sizes``, aggregates by key; null keys don't count."""
+    per = df.where(F.col(key).isNotNull()).groupBy(key).agg(*sizes)
+    return per.agg(*[F.max(c).alias(c) for c in per.columns if c != key])
+
+
+def label_report(df: DataFrame, label: str) -> DataFrame:
+    """``n`` and ``share``, to four places, of each label."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.agg(F.sum("n").alias("__all"))
+    return counts.crossJoin(F.broadcast(whole)).withColumn("share", F.round(F.col("n") / F.col("__all"), 4)).drop("__all")  # one row
+
+
+def first_examples(df: DataFrame, label: str, order: str, n: int) -> DataFrame:
+    """The first ``n`` rows of each label in order of the unique column ``order``; whole partitions are reduced to ``n`` before they meet."""
+    return df.withColumn("__rn", F.row_number().over(Window.partitionBy(label).orderBy(order))).where(F.col("__rn") <= n).drop("__rn")
+
+
+def pivoted_top(events: DataFrame, key: str, code: str, subject: str, n: int, value: str | None = None) -> DataFrame:
+    """A row a key with a column for each of the ``n`` codes that most subjects have: 1 if it has the code, or the mean of ``value``; else 0."""
+    chosen = [r[0] for r in top_by_subjects(events, code, subject, n).collect()]  # ``n`` rows
+    kept = events.where(F.col(code).isin(chosen))
+    cell = F.max(F.lit(1)) if value is None else F.avg(value)
+    return kept.groupBy(key).pivot(code, chosen).agg(cell).na.fill(0)

@@ -96,6 +96,11 @@ def timing_bucket(days: Column) -> Column:
     )
 
 
+def timing_labels(df: DataFrame, days: str) -> DataFrame:
+    """``df`` with ``bucket`` and ``invalid``, true where the days are missing or negative."""
+    return df.withColumn("bucket", timing_bucket(F.col(days))).withColumn("invalid", F.col(days).isNull() | (F.col(days) < 0))
+
+
 def days_between(a: Column, b: Column) -> Column:
     """Days from ``a`` to ``b`` with their fraction."""
     return (F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / F.lit(86_400_000_000.0)

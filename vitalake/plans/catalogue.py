@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalake.plans import cohort_queries, data_problems, data_problems_sql, evaluation_queries, more_queries
+from vitalake.plans import cohort_queries, data_problems, data_problems_sql, evaluation_queries, join_queries, more_queries
 
-QUERIES = {**data_problems.QUERIES, **cohort_queries.QUERIES, **evaluation_queries.QUERIES, **more_queries.QUERIES}
-ORACLE_SQL = {**data_problems_sql.ORACLE_SQL, **cohort_queries.ORACLE_SQL, **evaluation_queries.ORACLE_SQL, **more_queries.ORACLE_SQL}
+_PARTS = (cohort_queries, evaluation_queries, more_queries, join_queries)
+QUERIES = data_problems.QUERIES | {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLE_SQL = data_problems_sql.ORACLE_SQL | {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
