@@ -129,7 +129,7 @@ def test_thresholds_and_bins(spark):
 def test_bootstrap_and_temperature(spark):
     rows = [(i, int(i % 4 == 0), int(i % 4 == 0 or i % 10 == 0), (3.0 if i % 4 == 0 else -3.0) * (1 if i % 5 else -1)) for i in range(400)]
     df = spark.createDataFrame(rows, "id bigint, y int, pred int, logit double")
-    got = {r.metric: r for r in metrics.bootstrap(df, "y", "pred", "id", 100).collect()}
+    got = {r.metric: r for r in metrics.bootstrap(df, "y", "pred", 100).collect()}
     whole = metrics.confusion_metrics(df, "y", "pred").first()
     assert all(got[m].low <= whole[m] <= got[m].high and math.isclose(got[m].value, whole[m]) for m in ("accuracy", "f1"))
     t = metrics.temperature(df, "y", "logit")

@@ -88,3 +88,40 @@ def age_decade(birth: Column, at: Column) -> Column:
     age = F.least(F.lit(120), F.greatest(F.lit(0), F.year(at) - F.year(birth)))
     low = (F.floor(age / 10) * 10).cast("bigint")
     return F.when(age.isNotNull(), F.concat(low.cast("string"), F.lit("-"), (low + 9).cast("string")))
+
+
+def age_bin(age: Column) -> Column:
+    """``60-70`` for ages from 60 to 69; null stays null."""
+    low = (F.floor(age / 10) * 10).cast("bigint")
+    return F.when(age.isNotNull(), F.concat(low.cast("string"), F.lit("-"), (low + 10).cast("string")))
+
+
+def log2_odds(p: Column) -> Column:
+    """The logarithm to base 2 of the odds; null at 0 and 1."""
+    return F.when((p > 0) & (p < 1), F.log2(p / (1 - p)))
+
+
+def sigmoid(x: Column, temperature: float = 1.0) -> Column:
+    """The probability of a logit divided by ``temperature``."""
+    return 1 / (1 + F.exp(-x / F.lit(temperature)))
+
+
+def exact_round(x: Column, places: int) -> Column:
+    """``x`` rounded by its exact binary value, ties to even, as Python does: 2.675 to two places is 2.67.
+
+    The number is taken apart into a whole number times a power of two, so remainders are compared exactly.
+    Null, infinite and NaN stay as they are.
+    """
+    size = F.abs(x)
+    # One bit more than needed, as the logarithm may be off by one.
+    power = F.lit(54) - F.floor(F.log2(F.when(size > 0, size)))
+    whole = (size * F.pow(F.lit(2.0), power)).cast("decimal(38,0)") * F.lit(10**places).cast("decimal(6,0)")
+    unit = F.pow(F.lit(2.0), power).cast("decimal(38,0)")
+    whole = whole.cast("decimal(38,0)")
+    rest = whole % unit
+    low = ((whole - rest) / unit).cast("decimal(38,0)")
+    up = (rest * 2 > unit) | ((rest * 2 == unit) & (low % 2 == 1))
+    # To a double by its digits, so that the result is the nearest one.
+    digits = (low + up.cast("int")).cast("decimal(38,0)")
+    text = F.concat(digits.cast("string"), F.lit(f"E-{places}")).cast("double")
+    return F.when(F.isnan(x) | (size >= 2.0**52) | (size == 0), x).when(power > 100, F.lit(0.0)).otherwise(F.signum(x) * text)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,13 +122,15 @@ def threshold_sweep(df: DataFrame, y: str, score: str) -> DataFrame:
         .groupBy(reached.alias("reached"))
         .agg(F.sum((F.col(y) == 1).cast("bigint")).alias("p"), F.sum((F.col(y) == 0).cast("bigint")).alias("n"))
     )
-    levels = df.sparkSession.createDataFrame([(k, t) for k, t in enumerate(grid, 1)], "k int, threshold double")
-    joined = levels.join(F.broadcast(counted)).groupBy("k", "threshold").agg(  # 99 times at most 101 rows
-        F.sum(F.when(F.col("reached") >= F.col("k"), F.col("p")).otherwise(0)).alias("tp"),
-        F.sum(F.when(F.col("reached") >= F.col("k"), F.col("n")).otherwise(0)).alias("fp"),
-        F.sum(F.when(F.col("reached") < F.col("k"), F.col("n")).otherwise(0)).alias("tn"),
-        F.sum(F.when(F.col("reached") < F.col("k"), F.col("p")).otherwise(0)).alias("fn"),
-    )
+    levels = df.sparkSession.createDataFrame([(k, t) for k, t in enumerate([0.0, *grid])], "k int, threshold double")
+    above = Window.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)  # 100 rows
+    everywhere = Window.partitionBy()
+    joined = levels.join(F.broadcast(counted), F.col("k") == F.col("reached"), "left").select(
+        "k", "threshold", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("n", F.lit(0)).alias("n")
+    ).select(
+        "k", "threshold", F.sum("p").over(above).alias("tp"), F.sum("n").over(above).alias("fp"),
+        F.sum("n").over(everywhere).alias("N"), F.sum("p").over(everywhere).alias("P"),
+    ).select("k", "threshold", "tp", "fp", (F.col("N") - F.col("fp")).alias("tn"), (F.col("P") - F.col("tp")).alias("fn")).where("k > 0")
     return joined.select("threshold", "tp", "fp", "tn", "fn", *[v.alias(k) for k, v in scores(*map(F.col, ("tp", "fp", "tn", "fn"))).items()])
 
 
@@ -184,30 +187,34 @@ def probability_bins(df: DataFrame, score: str, label: str) -> DataFrame:
     return bins.join(F.broadcast(counted), "k", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), "mean_label")
 
 
-def bootstrap(df: DataFrame, y: str, pred: str, key: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """Accuracy, recall and F1 of the whole, with the 2.5 and 97.5 percentiles over Poisson resamples.
+#: Metrics with an interval.
+INTERVALS = ("accuracy", "precision", "recall", "specificity", "f1", "balanced_accuracy")
+
+
+def bootstrap(df: DataFrame, y: str, pred: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """Metrics of the whole with their bootstrap interval over ``replicates`` resamples of all rows with replacement.
 
-    A row's weight in a replicate is drawn from its key, so tasks add up counts of all
-    replicates in one pass; nothing but those counts is shuffled.
+    Metrics follow from the four counts of the confusion, and those of a resample are drawn from the multinomial
+    distribution with the shares of the whole: the very distribution of drawing rows. So rows are counted in one pass,
+    whatever their number. ``value``, ``low`` and ``high``: the order statistics at 2.5 and 97.5 percent. Rows with a label or
+    prediction other than 0 and 1 are left out; without rows there is no result.
     """
     rows = df.where(F.col(y).isin(0, 1) & F.col(pred).isin(0, 1))
-    u = (F.pmod(F.xxhash64(key, "rep", F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = sum((F.when(u > s, 1).otherwise(0) for s in steps), F.lit(0))
-    cells = (
-        rows.select(key, y, pred, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-        .withColumn("w", weight)
-        .groupBy("rep")
-        .agg(*[F.sum(F.when((F.col(y) == a) & (F.col(pred) == b), F.col("w")).otherwise(0)).alias(k) for k, a, b in (("tp", 1, 1), ("fp", 0, 1), ("tn", 0, 0), ("fn", 1, 0))])
-    )
+    cells = [int(x or 0) for x in rows.agg(*confusion(F.col(y), F.col(pred)).values()).first()]
+    spark = df.sparkSession
+    n = sum(cells)
+    drawn = np.random.default_rng(seed).multinomial(n, np.array(cells) / n, replicates) if n else np.zeros((0, 4), int)
+    draws = spark.createDataFrame([tuple(map(int, r)) for r in drawn] or [], "tp bigint, fp bigint, tn bigint, fn bigint")
+    own = spark.createDataFrame([tuple(cells)] if n else [], "tp bigint, fp bigint, tn bigint, fn bigint")
     metric = scores(*map(F.col, ("tp", "fp", "tn", "fn")))
-    reps = cells.select(*[metric[m].alias(m) for m in ("accuracy", "recall", "f1")])
-    whole = confusion_metrics(rows, y, pred).select(*[F.col(m).alias(f"w_{m}") for m in ("accuracy", "recall", "f1")])
-    ci = reps.agg(*[F.expr(f"percentile({m}, array(0.025D, 0.975D))").alias(m) for m in ("accuracy", "recall", "f1")])
+    low, high = int(0.025 * replicates) + 1, int(0.975 * replicates) + 1
+    whole = own.select(*[metric[m].alias(f"w_{m}") for m in INTERVALS])
+    # One row for each replicate.
+    ci = draws.agg(*[F.array_sort(F.collect_list(metric[m])).alias(m) for m in INTERVALS])
     return whole.crossJoin(ci).select(
         F.explode(F.array(*[
-            F.struct(F.lit(m).alias("metric"), F.col(f"w_{m}").alias("value"), F.col(m)[0].alias("low"), F.col(m)[1].alias("high"))
-            for m in ("accuracy", "recall", "f1")
+            F.struct(F.lit(m).alias("metric"), F.col(f"w_{m}").alias("value"), F.element_at(m, low).alias("low"), F.element_at(m, high).alias("high"))
+            for m in INTERVALS
         ])).alias("x")
     ).select("x.*")
 
@@ -243,3 +250,30 @@ def temperature(df: DataFrame, y: str, logit: str, rounds: int = 30) -> float:
 def scaled(df: DataFrame, logit: str, t: float) -> DataFrame:
     """``df`` with ``calibrated``, the probability at temperature ``t``."""
     return df.withColumn("calibrated", 1 / (1 + F.exp(-F.col(logit) / t)))
+
+
+def confidence_tags(p: Column) -> Column:
+    """high_confidence above 0.8 or below 0.2, borderline from 0.4 to 0.6; an array, empty for others."""
+    return F.array_compact(F.array(F.when((p > 0.8) | (p < 0.2), "high_confidence"), F.when(p.between(0.4, 0.6), "borderline")))
+
+
+def two_settings(df: DataFrame, y: str, score: str, threshold: float, by: Sequence[str] = ()) -> DataFrame:
+    """Counts and metrics of each group at 0.5 and at ``threshold``, with the share predicted positive in percent; column ``setting``."""
+    out = None
+    for name, t in (("default", 0.5), ("tuned", threshold)):
+        rows = df.where(F.col(score).isNotNull()).withColumn("__pred", (F.col(score) >= t).cast("int"))
+        m = confusion_metrics(rows, y, "__pred", by)
+        tp, fp, tn, fn = map(F.col, ("tp", "fp", "tn", "fn"))
+        m = m.withColumn("positive_rate", 100 * (tp + fp) / (tp + fp + tn + fn)).withColumn("setting", F.lit(name)).withColumn("threshold", F.lit(t))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+#: Names of models and modes in reports, by how they are written in data; fixed values.
+DISPLAY = {"zero_shot": "Zero-Shot", "few_shot": "Few-Shot", "coagent": "Co-Agent", "by_mode": "By mode", "by_model": "By model"}
+
+
+def displayed(c: Column) -> Column:
+    """The name in reports; others as words with capitals."""
+    known = F.create_map(*[F.lit(x) for kv in DISPLAY.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, c), F.initcap(F.replace(c, F.lit("_"), F.lit(" "))))

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import zipfile
+from collections.abc import Sequence
+from functools import lru_cache
+
+import pyspark
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,17 +31,23 @@ def sparse_rows(tokens: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     return tokens.join(vocab.select("token", "index"), "token").groupBy(key).agg(F.array_sort(F.collect_list("index")).alias("indices"))
 
 
-#: Frequent English words that carry no topic; fixed values.
-STOP_WORDS = "a an and are as at be been but by can for from had has have he her his if in into is it its no not of on or our she so such than that the their them then there these they this to up was we were what when which who will with would you your".split()
+@lru_cache(maxsize=1)
+def english_stop_words() -> tuple[str, ...]:
+    """The English stop words that Spark brings along."""
+    jars = os.path.join(os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__), "jars")
+    (jar,) = (os.path.join(jars, x) for x in os.listdir(jars) if x.startswith("spark-mllib_"))
+    with zipfile.ZipFile(jar) as z:
+        return tuple(z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split())
 
 
-def tfidf(df: DataFrame, key: str, text: str, most: int = 5000) -> DataFrame:
+def tfidf(df: DataFrame, key: str, text: str, most: int = 5000, stop_words: Sequence[str] | None = None) -> DataFrame:
     """``key``, ``token`` and ``weight``: tf * (ln((1 + n) / (1 + df)) + 1), each row at length one.
 
-    Tokens are words of two or more signs, without stop words; the ``most`` frequent in the corpus are kept.
+    Tokens are words of two or more signs, without ``stop_words`` (Spark's English ones, if None); the ``most`` frequent in the corpus are kept.
     """
+    stop = [w for w in (english_stop_words() if stop_words is None else stop_words) if "'" not in w]  # no token has an apostrophe
     rows = df.where(F.col(text).isNotNull()).select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))).alias("token"))
-    tf = rows.where(~F.col("token").isin(STOP_WORDS)).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
+    tf = rows.where(~F.col("token").isin(stop)).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
     terms = tf.groupBy("token").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "token").limit(most)
     n = df.agg(F.count(F.lit(1)).alias("n"))
     weighted = tf.join(F.broadcast(terms), "token").crossJoin(F.broadcast(n)).select(  # at most ``most`` rows; one row
@@ -60,16 +72,16 @@ def quartile_tokens(df: DataFrame, feature: str, value: str) -> DataFrame:
 
 
 def token_sequences(visits: DataFrame, key: str, order: list[str], codes: str, most: int = 512) -> DataFrame:
-    """``CLS``, then the codes of each visit in order with ``SEP`` after each; sequences of ``most`` or more are left out.
+    """``CLS``, then the codes of each visit in order with ``SEP`` after each; sequences of ``most`` or more are left out, before they are collected.
 
     Also segments (0 and 1 by turns from visit to visit), positions of visits and the mask.
     """
-    parts = visits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(codes).alias("codes")))).alias("v"))
+    size = visits.groupBy(key).agg((F.sum(F.size(codes) + 1) + 1).alias("__n")).where(F.col("__n") < most).select(key)
+    parts = visits.join(size, key, "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(codes).alias("codes")))).alias("v"))
     tokens = F.concat(F.array(F.lit("CLS")), F.flatten(F.transform("v", lambda x: F.concat(x["codes"], F.array(F.lit("SEP"))))))
     seps = F.transform("tokens", lambda _, i: F.size(F.filter(F.slice("tokens", 1, i), lambda t: t == "SEP")))
     return (
         parts.select(key, tokens.alias("tokens"))
-        .where(F.size("tokens") < most)
         .withColumn("positions", seps)
         .withColumn("segments", F.transform("positions", lambda p: p % 2))
         .withColumn("mask", F.transform("tokens", lambda _: F.lit(1)))
@@ -101,6 +113,19 @@ def baselines(train: DataFrame, test: DataFrame, features: str, label: str, tree
     return out
 
 
+def importances(train: DataFrame, features: str, label: str, names: list[str], trees: int = 100, seed: int = 42) -> DataFrame:
+    """``feature``, its importance in a random forest and its weight in a logistic regression with classes of equal weight."""
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+
+    from vitalake.operators.inputs import balanced_weights
+
+    forest = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=trees, seed=seed).fit(train)
+    weighted = balanced_weights(train, label)
+    line = LogisticRegression(featuresCol=features, labelCol=label, weightCol="weight", maxIter=1000, regParam=0.01).fit(weighted)
+    rows = [(n, float(forest.featureImportances[i]), float(line.coefficients[i])) for i, n in enumerate(names)]
+    return train.sparkSession.createDataFrame(rows, "feature string, importance double, weight double")
+
+
 def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     """``column``, ``value`` and ``code``: categories of each column in alphabetical order from 0."""
     sets = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])

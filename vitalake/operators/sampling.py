@@ -34,17 +34,36 @@ def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.2, se
     )
 
 
-def folds(df: DataFrame, key: str, k: int, label: str | None = None, seed: int = 0) -> DataFrame:
-    """``fold`` from 0 to ``k - 1``, of each label in turns if ``label`` is given."""
+def folds(df: DataFrame, key: str, k: int, label: str | None = None, seed: int = 0, equal: bool = False) -> DataFrame:
+    """``fold`` from 0 to ``k - 1``, of each label in turns if ``label`` is given; ``equal``: folds of one size, the rest left out."""
     one = df if label else df.withColumn("__all", F.lit(1))
-    out = hash_ranked(one, [label or "__all"], key, seed).withColumn("fold", ((F.col("rank") - 1) % k).cast("int"))
-    return out.drop("rank", "__all")
+    ranked = hash_ranked(one, [label or "__all"], key, seed)
+    if equal:
+        size = df.agg((F.floor(F.count(F.lit(1)) / k) * k).alias("__kept"))
+        ranked = ranked.crossJoin(F.broadcast(size)).where(F.col("rank") <= F.col("__kept")).drop("__kept")  # one row
+    return ranked.withColumn("fold", ((F.col("rank") - 1) % k).cast("int")).drop("rank", "__all")
 
 
-def exemplars(df: DataFrame, label: str, key: str, positive: int, negative: int, matched: bool = False, seed: int = 0) -> DataFrame:
-    """``positive`` and ``negative`` rows by hash; ``matched``: as many in all, in the labels' proportion, one positive at least."""
+def sampled(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows by hash, the same in every run."""
+    h = arithmetic_hash(F.col(key), seed)
+    return df.orderBy(h, F.col(key)).limit(n)
+
+
+def exemplars(
+    df: DataFrame, label: str, key: str, positive: int, negative: int, matched: bool = False, seed: int = 0, strategy: str | None = None
+) -> DataFrame:
+    """``positive`` and ``negative`` rows by hash; ``matched``: as many in all, in the labels' proportion, one positive at least.
+
+    ``strategy`` names one of these instead: random_balanced, prevalence_matched, or similarity, which is as random_balanced; a
+    ValueError for an unknown one. The share of positives is that of all rows.
+    """
+    if strategy is not None:
+        if strategy not in ("random_balanced", "prevalence_matched", "similarity"):
+            raise ValueError(f"unknown strategy {strategy}")
+        matched = strategy == "prevalence_matched"
     if matched:
-        share = df.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
+        share = df.agg(F.avg(F.coalesce((F.col(label) == 1).cast("double"), F.lit(0.0)))).first()[0] or 0.0
         total = positive + negative
         positive = max(1, round(total * share))
         negative = total - positive

@@ -77,12 +77,16 @@ def med_grid(cells: DataFrame, keys: list[str], n: int) -> DataFrame:
     return g.select(*keys, "bucket", signal.alias("signal"), (signal * dose).alias("value"))
 
 
-def lab_grid(cells: DataFrame, keys: list[str], n: int, impute: bool = True) -> DataFrame:
-    """Of measurements: ``signal`` 1 where measured; ``value`` filled forward, then backward, then 0."""
+def lab_grid(cells: DataFrame, keys: list[str], n: int, impute: bool = True, middle: str | None = None) -> DataFrame:
+    """Of measurements: ``signal`` 1 where measured; ``value`` filled forward, then backward, then with the ``middle`` (mean
+    or median) of the key, then 0. A key with any value is filled by its neighbours, so the middle serves keys whose cells are all null.
+    """
     g = dense_grid(cells, keys, n)
-    filled = F.coalesce(
-        filled_forward(F.col("value"), keys, "bucket"), filled_backward(F.col("value"), keys, "bucket"), F.lit(0.0)
-    )
+    ways = [filled_forward(F.col("value"), keys, "bucket"), filled_backward(F.col("value"), keys, "bucket")]
+    if middle:
+        of = {"mean": F.avg, "median": F.median}[middle]
+        ways.append(of("value").over(Window.partitionBy(*keys)))
+    filled = F.coalesce(*ways, F.lit(0.0))
     return g.select(
         *keys, "bucket", F.col("value").isNotNull().cast("int").alias("signal"),
         (filled if impute else F.coalesce("value", F.lit(0.0))).alias("value"),

@@ -106,20 +106,19 @@ def days_between(a: Column, b: Column) -> Column:
     return (F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / F.lit(86_400_000_000.0)
 
 
-def visit_sequences(visits: DataFrame, subject: str, time: str, codes: str) -> DataFrame:
+def visit_sequences(visits: DataFrame, subject: str, time: str, codes: str, reverse: bool = False) -> DataFrame:
     """Per subject the visits in order of time: days since the one before, and codes.
 
     Columns: subject, ``sequence`` (array of struct of delta_days and codes); the first
-    delta is 0. ``codes`` is an array column; visits of one day are one visit.
+    delta is 0. ``codes`` is an array column; visits of one day are one visit. With ``reverse`` the last visit
+    comes first, and the days are those to the visit after.
     """
     by_day = visits.where(F.col(subject).isNotNull() & F.col(time).isNotNull()).groupBy(
         subject, F.to_date(time).alias("day")
     ).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(codes)))).alias("codes"))
-    w = Window.partitionBy(subject).orderBy("day")
-    delta = F.coalesce(F.datediff("day", F.lag("day").over(w)), F.lit(0))
-    return (
-        by_day.withColumn("delta_days", delta)
-        .groupBy(subject)
-        .agg(F.array_sort(F.collect_list(F.struct("day", "delta_days", "codes"))).alias("s"))
-        .select(subject, F.transform("s", lambda x: F.struct(x["delta_days"].alias("delta_days"), x["codes"].alias("codes"))).alias("sequence"))
-    )
+    days = F.array_sort(F.collect_list(F.struct("day", "codes")))
+    listed = by_day.groupBy(subject).agg((F.reverse(days) if reverse else days).alias("s"))
+    # A sequence is one row, so the days between are taken from it, without a window.
+    before = lambda i: F.get("s", i - 1)["day"]
+    delta = lambda x, i: F.when(i > 0, F.abs(F.datediff(x["day"], before(i)))).otherwise(0)
+    return listed.select(subject, F.transform("s", lambda x, i: F.struct(delta(x, i).alias("delta_days"), x["codes"].alias("codes"))).alias("sequence"))

@@ -209,8 +209,8 @@ def prob_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics with their bootstrap interval; the resamples are Spark's own, so there is no SQL."""
-    return metrics.bootstrap(predictions(spark, d), "y", "pred", "response_id")
+    """Metrics with their bootstrap interval; the resamples are drawn, so there is no SQL."""
+    return metrics.bootstrap(predictions(spark, d), "y", "pred")
 
 
 @query(f"""
@@ -397,7 +397,7 @@ def bag_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH w AS (SELECT pair_id, unnest(regexp_extract_all(lower(narrative_current), '([\\p{{L}}\\p{{N}}_]{{2,}})', 1)) AS token FROM test WHERE narrative_current IS NOT NULL),
-tf AS (SELECT pair_id, token, count(*) AS tf FROM w WHERE token NOT IN ({', '.join(f"'{x}'" for x in mlfeed.STOP_WORDS)}) GROUP BY 1, 2),
+tf AS (SELECT pair_id, token, count(*) AS tf FROM w WHERE token NOT IN ({', '.join(f"'{x}'" for x in mlfeed.english_stop_words() if "'" not in x)}) GROUP BY 1, 2),
 v AS (SELECT token, count(*) AS df FROM tf GROUP BY 1 ORDER BY sum(tf) DESC, token LIMIT 5000),
 x AS (SELECT pair_id, token, tf * (ln((1 + (SELECT count(*) FROM test)) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN v USING (token))
 SELECT pair_id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY pair_id)), 6) AS weight FROM x
