@@ -139,30 +139,46 @@ def sections(df: DataFrame, key: str, text: str) -> DataFrame:
 
 #: Entities by name: label and the ways to write it; fixed values.
 ENTITIES = {
-    "morphine": ("DRUG-USE", "morphine"), "fentanyl": ("DRUG-USE", "fentanyl"), "cocaine": ("DRUG-USE", "cocaine"), "heroine": ("DRUG-USE", "heroine"),
-    "systolic chf": ("DIAGNOSIS", "systolic chf"), "diastolic chf": ("DIAGNOSIS", "diastolic chf"),
-    "heart failure": ("DIAGNOSIS", "heart failure"), "chronic kidney disease": ("DIAGNOSIS", "chronic kidney disease|ckd"),
-    "coronary artery disease": ("DIAGNOSIS", "coronary artery disease|cad"),
+    "cocaine": ("DRUG-USE", "cocaine"),
+    "heroine": ("DRUG-USE", "heroine"),
+    "morphine": ("DRUG-USE", "morphine"),
+    "fentanyl": ("DRUG-USE", "fentanyl"),
+    "heart failure": ("DIAGNOSIS", "heart failure"),
+    "systolic chf": ("DIAGNOSIS", "systolic chf"),
+    "diastolic chf": ("DIAGNOSIS", "diastolic chf"),
+    "chronic kidney disease": ("DIAGNOSIS", "chronic kidney disease|ckd"),
     "chronic obstructive pulmonary disease": ("DIAGNOSIS", "chronic obstructive pulmonary disease|copd"),
-    "insulin": ("MEDICATION", "insulin"), "heparin": ("MEDICATION", "heparin"), "furosemide": ("MEDICATION", "furosemide|lasix"),
-    "norepinephrine": ("MEDICATION", "norepinephrine"), "warfarin": ("MEDICATION", "warfarin"), "metoprolol": ("MEDICATION", "metoprolol"),
-    "shortness of breath": ("SYMPTOM", "shortness of breath|sob"), "chest pain": ("SYMPTOM", "chest pain"), "fever": ("SYMPTOM", "fever"),
-    "abdominal pain": ("SYMPTOM", "abdominal pain"), "headache": ("SYMPTOM", "headache"), "fatigue": ("SYMPTOM", "fatigue"),
-    "diarrhea": ("SYMPTOM", "diarrhea"), "edema": ("SYMPTOM", "edema"), "palpitations": ("SYMPTOM", "palpitations"),
+    "coronary artery disease": ("DIAGNOSIS", "coronary artery disease|cad"),
+    "insulin": ("MEDICATION", "insulin"),
+    "heparin": ("MEDICATION", "heparin"),
+    "furosemide": ("MEDICATION", "furosemide|lasix"),
+    "norepinephrine": ("MEDICATION", "norepinephrine"),
+    "warfarin": ("MEDICATION", "warfarin"),
+    "metoprolol": ("MEDICATION", "metoprolol"),
+    "shortness of breath": ("SYMPTOM", "shortness of breath|sob"),
+    "chest pain": ("SYMPTOM", "chest pain"),
+    "fever": ("SYMPTOM", "fever"),
+    "abdominal pain": ("SYMPTOM", "abdominal pain"),
+    "headache": ("SYMPTOM", "headache"),
+    "fatigue": ("SYMPTOM", "fatigue"),
+    "diarrhea": ("SYMPTOM", "diarrhea"),
+    "edema": ("SYMPTOM", "edema"),
+    "palpitations": ("SYMPTOM", "palpitations"),
 }
 #: What says how an entity after it is meant; fixed values.
 CONTEXTS = {
-    "negated": "no|denies|lack|self-discontinuing",
-    "historical": "past|history of",
     "family": "family history|mother had|father had|sister had|brother had|maternal|paternal|hereditary|genetic",
     "severe": "mild|severe",
+    "current": "presenting with",
+    "historical": "past|history of",
+    "negated": "no|denies|lack|self-discontinuing",
 }
 #: What says how an entity before it is meant; fixed values.
 BACKWARD = {"family": "runs in the family"}
 
 
 def entities(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Entities named in texts, with whether each is negated, historical, of the family or graded.
+    """Entities named in texts, with whether each is of the family, graded, current, historical or negated.
 
     A context reaches forward to the end of the clause (the sentence, or a semicolon), those of
     ``BACKWARD`` to its begin. One row for each text, clause, entity and ``mention`` of it, from 1.
@@ -170,15 +186,18 @@ def entities(df: DataFrame, key: str, text: str) -> DataFrame:
     clauses = df.where(F.col(text).isNotNull()).select(
         key, F.posexplode(F.split(F.lower(F.col(text)), r"\n+|(?<=[.!?]) +|;")).alias("clause", "c")
     )
+    # The clause split at each entity; the patterns are fixed, so each is compiled once.
     found = F.array_compact(
         F.array(*[
-            F.when(F.col("c").rlike(rf"\b(?:{ways})\b"), F.struct(F.lit(name).alias("entity"), F.lit(label).alias("label"), F.lit(ways).alias("ways")))
+            F.when(
+                F.col("c").rlike(rf"\b(?:{ways})\b"),
+                F.struct(F.lit(name).alias("entity"), F.lit(label).alias("label"), F.split(F.col("c"), rf"\b(?:{ways})\b", -1).alias("around")),
+            )
             for name, (label, ways) in ENTITIES.items()
         ])
     )
-    one = clauses.select(key, "clause", "c", F.explode(found).alias("e")).select(key, "clause", "c", "e.*")
-    around = F.split(F.col("c"), F.concat(F.lit(r"\b(?:"), F.col("ways"), F.lit(r")\b")), -1)
-    each = one.select(key, "clause", "entity", "label", around.alias("around")).withColumn("mention", F.explode(F.sequence(F.lit(1), F.size("around") - 1)))
+    one = clauses.select(key, "clause", F.explode(found).alias("e")).select(key, "clause", "e.*")
+    each = one.withColumn("mention", F.explode(F.sequence(F.lit(1), F.size("around") - 1)))
     before = F.array_join(F.slice("around", F.lit(1), F.col("mention")), " | ")
     after = F.array_join(F.slice("around", F.col("mention") + 1, F.size("around")), " | ")
     said = {n: before.rlike(rf"\b(?:{w})\b") for n, w in CONTEXTS.items()}
@@ -187,11 +206,18 @@ def entities(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """The mean of each key's vectors and that at length one, entry by entry; partial sums before the shuffle."""
-    flat = df.where(F.col(vector).isNotNull()).select(key, F.posexplode(vector).alias("i", "x"))
-    means = flat.groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("mean"))
-    length = means.groupBy(key).agg(F.sqrt(F.sum(F.col("mean") * F.col("mean"))).alias("length"))
-    return means.join(length, key).select(key, "i", "mean", F.when(F.col("length") > 0, F.col("mean") / F.col("length")).otherwise(0.0).alias("unit"))
+    """The mean of each key's vectors and that at length one, entry by entry; vectors are added up as such before the shuffle.
+
+    All vectors must have one length; null ones are left out.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    vectors = df.where(F.col(vector).isNotNull()).select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+    means = vectors.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("m"))
+    length = F.sqrt(F.aggregate("m", F.lit(0.0), lambda s, x: s + x * x))
+    flat = means.withColumn("length", length).select(key, "length", F.posexplode("m").alias("i", "mean"))
+    return flat.select(key, "i", "mean", F.when(F.col("length") > 0, F.col("mean") / F.col("length")).otherwise(0.0).alias("unit"))
 
 
 def scored(df: DataFrame, scorer, schema: str) -> DataFrame:  # noqa: ANN001

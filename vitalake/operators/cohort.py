@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Days of a block of a subject.
+BLOCK_DAYS = 32
+
+
 @dataclass(frozen=True)
 class Entity:
     """Names of the columns of a visit."""
@@ -36,33 +40,39 @@ def readmission(visits: DataFrame, gap_days: int, e: Entity = Entity()) -> DataF
     """``label`` 1 where the subject is admitted again later than the end and within ``gap_days`` of it.
 
     The last visit of a subject (by start, then visit) is always 0, as is one without an
-    end. Starts and ends are merged in order of time, so the first start after an end is
-    found in one sort, also where visits overlap.
+    end. Starts and ends are merged in order of time within blocks of ``BLOCK_DAYS``, so the first start after an end is
+    found in one sort, also where visits overlap; of other blocks only the first start is looked at.
     """
-    start, end = micros(F.col(e.start)), micros(F.col(e.end))
-    ordered = Window.partitionBy(e.subject).orderBy(F.col(e.start).desc_nulls_last(), F.col(e.visit).desc_nulls_last())
-    kept = visits.where(F.col(e.subject).isNotNull() & F.col(e.start).isNotNull()).withColumn(
-        "__last", F.row_number().over(ordered) == 1
-    )
+    width = BLOCK_DAYS * 86_400_000_000
+    kept = visits.where(F.col(e.subject).isNotNull() & F.col(e.start).isNotNull())
     columns = [F.col(c) for c in visits.columns]
+    order = F.struct(F.col(e.start), F.col(e.visit))
     points = kept.select(
         F.col(e.subject).alias("__s"),
         F.explode(
             F.array(
-                F.struct(start.alias("at"), F.lit(0).alias("kind"), F.lit(None).alias("row")),
-                F.struct(end.alias("at"), F.lit(1).alias("kind"), F.struct(*columns, "__last").alias("row")),
+                F.struct(micros(F.col(e.start)).alias("at"), F.lit(0).alias("kind"), order.alias("place"), F.lit(None).alias("row")),
+                F.struct(micros(F.col(e.end)).alias("at"), F.lit(1).alias("kind"), order.alias("place"), F.struct(*columns).alias("row")),
             )
         ).alias("p"),
-    ).select("__s", "p.*")
+    ).select("__s", "p.*").withColumn("__b", F.floor(F.col("at") / width))
     # Of one instant, starts come first: a start at the very end is no return.
-    after = Window.partitionBy("__s").orderBy(F.col("at").asc_nulls_last(), "kind").rowsBetween(0, Window.unboundedFollowing)
-    again = F.first(F.when(F.col("kind") == 0, F.col("at")), ignorenulls=True).over(after)
-    found = points.withColumn("again", again).where("kind = 1")
-    label = (
-        ~F.col("row.__last") & F.col("at").isNotNull() & F.col("again").isNotNull()
-        & (F.col("again") - F.col("at") <= F.lit(gap_days * 86_400_000_000))
+    after = Window.partitionBy("__s", "__b").orderBy(F.col("at").asc_nulls_last(), "kind").rowsBetween(0, Window.unboundedFollowing)
+    inside = F.first(F.when(F.col("kind") == 0, F.col("at")), ignorenulls=True).over(after)
+    # One row a block of a subject: its first start, and the first one in later blocks.
+    later = Window.partitionBy("__s").orderBy("__b").rowsBetween(1, Window.unboundedFollowing)
+    starts = points.where("kind = 0").groupBy("__s", "__b").agg(F.min("at").alias("first"), F.max("place").alias("last"))
+    blocks = points.where("__b is not null").select("__s", "__b").distinct().join(starts, ["__s", "__b"], "left").select(
+        F.col("__s").alias("s"), F.col("__b").alias("b"), F.min("first").over(later).alias("next"),
+        F.max("last").over(Window.partitionBy("__s")).alias("very_last"),
+    )
+    found = points.withColumn("again", inside).where("kind = 1").join(
+        blocks, (F.col("__s") == F.col("s")) & (F.col("__b") == F.col("b")), "left"
     )
-    return found.select(*[F.col(f"row.{c}").alias(c) for c in visits.columns], label.cast("int").alias("label"))
+    again = F.coalesce("again", "next")
+    is_last = F.coalesce(F.col("place") == F.col("very_last"), F.lit(True))  # without an end it is 0 anyway
+    label = ~is_last & F.col("at").isNotNull() & again.isNotNull() & (again - F.col("at") <= F.lit(gap_days * 86_400_000_000))
+    return found.select(*[F.col(f"row.{c}").alias(c) for c in visits.columns], F.coalesce(label.cast("int"), F.lit(0)).alias("label"))
 
 
 def long_stay(visits: DataFrame, los: Column, days: float) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitalake.operators.ranks import grouped_percentiles, join_small
+
 
 def first_match(mapping: DataFrame, key: Column, value: str, order: list[str]) -> DataFrame:
     """``key`` and ``value`` of the first row of each key in file order."""
@@ -52,25 +54,21 @@ def keep_main_unit(events: DataFrame, item: str, unit: str, share: float = 0.95)
         F.col(item).alias("__i"), F.col(f"top.{unit}").alias("__u")
     )
     return (
-        events.join(ruled, F.col(item) == F.col("__i"), "left")
+        join_small(events, ruled, F.col(item) == F.col("__i"), "left")
         .where(F.col("__i").isNull() | F.coalesce(F.col(unit) == F.col("__u"), F.lit(False)))
         .drop("__i", "__u")
     )
 
 
 def outlier_bounds(events: DataFrame, item: str, value: str, left: float, right: float) -> DataFrame:
-    """Exact percentiles of each item, interpolated; equal values are counted before they are sorted."""
-    counted = events.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(item, value).agg(F.count(F.lit(1)).alias("n"))
-    got = counted.groupBy(item).agg(
-        F.expr(f"percentile(`{value}`, array({left / 100}D, {right / 100}D), n)").alias("p")
-    )
+    """Exact percentiles of each item, interpolated; equal values are counted before they are ranked, in blocks."""
+    got = grouped_percentiles(events, item, value, [left / 100, right / 100])
     return got.select(item, F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
 
 
 def winsorise(events: DataFrame, item: str, value: str, left: float = 0, right: float = 98, drop: bool = False) -> DataFrame:
     """Values outside an item's percentiles set to them, or their rows left out."""
-    bounds = outlier_bounds(events, item, value, left, right)
-    joined = events.join(bounds, item)
+    joined = join_small(events, outlier_bounds(events, item, value, left, right), item)
     if drop:
         return joined.where(F.col(value).between(F.col("low"), F.col("high"))).drop("low", "high")
     return joined.withColumn(value, F.greatest(F.least(value, "high"), F.col("low"))).drop("low", "high")

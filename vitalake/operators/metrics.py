@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitalake.session import cut
+
 
 def confusion(y: Column, pred: Column) -> dict[str, Column]:
     """Aggregates tp, fp, tn and fn."""
@@ -52,7 +54,7 @@ def by_score(df: DataFrame, y: str, score: str) -> DataFrame:
     Columns: score, pos, neg, pos_above, neg_above. Scores are in 0 to 1; sums cross blocks of
     scores as one row each, so no task sees all scores.
     """
-    counted = (
+    counted = cut(  # one row a score, used several times
         df.where(F.col(y).isin(0, 1) & F.col(score).isNotNull() & ~F.isnan(score))
         .groupBy(F.col(score).alias("score"))
         .agg(F.sum((F.col(y) == 1).cast("bigint")).alias("pos"), F.sum((F.col(y) == 0).cast("bigint")).alias("neg"))

@@ -11,6 +11,7 @@ import pyspark
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitalake.operators.ranks import grouped_percentiles, join_small
 from vitalake.operators.visits import dense_ids
 
 
@@ -61,14 +62,13 @@ def quartile_tokens(df: DataFrame, feature: str, value: str) -> DataFrame:
 
     Equal edges are one; a feature with one value has the single token ``<feature>_0``.
     """
-    counted = df.where((F.col(value) != 0) & ~F.isnan(value)).groupBy(feature, value).agg(F.count(F.lit(1)).alias("n"))
-    edges = counted.groupBy(feature).agg(
-        F.array_distinct(F.expr(f"percentile(`{value}`, array(0.25D, 0.5D, 0.75D), n)")).alias("edges"), F.max(value).alias("top")
-    ).select(feature, F.filter("edges", lambda e: e < F.col("top")).alias("edges"))
+    rows = df.where((F.col(value) != 0) & ~F.isnan(value))
+    tops = rows.groupBy(feature).agg(F.max(value).alias("top"))
+    edges = grouped_percentiles(rows, feature, value, [0.25, 0.5, 0.75], "edges").join(tops, feature).select(
+        feature, F.filter(F.array_distinct("edges"), lambda e: e < F.col("top")).alias("edges")
+    )
     of = F.size(F.filter("edges", lambda e: F.col(value) > e))
-    return df.where((F.col(value) != 0) & ~F.isnan(value)).join(edges, feature).withColumn(
-        "token", F.concat(F.col(feature).cast("string"), F.lit("_"), of.cast("string"))
-    ).drop("edges")
+    return join_small(rows, edges, feature).withColumn("token", F.concat(F.col(feature).cast("string"), F.lit("_"), of.cast("string"))).drop("edges")
 
 
 def token_sequences(visits: DataFrame, key: str, order: list[str], codes: str, most: int = 512) -> DataFrame:
@@ -133,6 +133,18 @@ def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     return once.withColumn("code", F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1)
 
 
+#: The most categories that become columns.
+MOST_COLUMNS = 1000
+
+
+def categories(df: DataFrame, column: str) -> list:
+    """All values of ``column`` in order, without null; a ValueError if there are more than ``MOST_COLUMNS``."""
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_COLUMNS + 1).collect()]
+    if len(found) > MOST_COLUMNS:
+        raise ValueError(f"{column} has more than {MOST_COLUMNS} values")
+    return sorted(found)
+
+
 def one_hot(df: DataFrame, key: str, column: str, values: list[str]) -> DataFrame:
     """A column of 0 and 1 for each of ``values``; others are 0 everywhere."""
     return df.select(key, *[F.coalesce((F.col(column) == v).cast("int"), F.lit(0)).alias(f"{column}_{v}") for v in values])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitalake.operators.ranks import blocked_next, blocked_rank
 from vitalake.session import cut
 
 
@@ -35,29 +36,36 @@ def with_aggregates(visits: DataFrame, key: str, *aggregates: DataFrame) -> Data
     return visits
 
 
+#: Days of a block; a subject's rows are put in order within blocks, and only the ends of blocks meet.
+BLOCK_DAYS = 32
+
+
+def time_block(at: Column) -> Column:
+    """The block of a time; null for none."""
+    return F.floor(F.datediff(F.to_date(at), F.lit("1970-01-01").cast("date")) / BLOCK_DAYS)
+
+
 def visit_order(visits: DataFrame, subject: str, order: list[str], name: str = "visit_order") -> DataFrame:
-    """Number of a visit within its subject, from 0."""
-    return visits.withColumn(name, F.row_number().over(Window.partitionBy(subject).orderBy(*order)) - 1)
+    """Number of a visit within its subject, from 0; the first of ``order`` is its time."""
+    return blocked_rank(visits, [subject], [F.col(c) for c in order], time_block(F.col(order[0])), name).withColumn(name, F.col(name) - 1)
 
 
 def consecutive_pairs(visits: DataFrame, subject: str, order: list[str], carry: list[str], min_visits: int = 2) -> DataFrame:
     """Each visit of a subject with the next one, as ``<c>_current`` and ``<c>_next``.
 
-    A window with ``lead`` in place of a self join. Subjects with less than
+    The next row in place of a self join; the first of ``order`` is the time of the visit. Subjects with less than
     ``min_visits`` visits, or a null subject, have no pairs.
     """
-    w = Window.partitionBy(subject)
-    following = F.lead(F.struct(*carry)).over(w.orderBy(*order))
-    return (
-        visits.where(F.col(subject).isNotNull())
-        .withColumn("__n", F.count(F.lit(1)).over(w))
-        .withColumn("__next", following)
-        .where((F.col("__n") >= min_visits) & F.col("__next").isNotNull())
-        .select(
-            subject,
-            *[F.col(c).alias(f"{c}_current") for c in carry],
-            *[F.col(f"__next.{c}").alias(f"{c}_next") for c in carry],
-        )
+    known = visits.where(F.col(subject).isNotNull())
+    if min_visits > 2:  # a visit with a next one has two at least
+        enough = known.groupBy(subject).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_visits).select(subject)
+        known = known.join(enough, subject, "left_semi")
+    columns = list(dict.fromkeys([subject, *order, *carry]))
+    linked = blocked_next(known.select(*columns), [subject], [F.col(c) for c in order], time_block(F.col(order[0])), F.struct(*carry), "__next")
+    return linked.where(F.col("__next").isNotNull()).select(
+        subject,
+        *[F.col(c).alias(f"{c}_current") for c in carry],
+        *[F.col(f"__next.{c}").alias(f"{c}_next") for c in carry],
     )
 
 

@@ -96,15 +96,18 @@ SELECT c_mktsegment AS segment, count(*) AS pairs, sum(CASE WHEN regexp_matches(
 FROM p JOIN customer ON o_custkey = c_custkey WHERE following IS NOT NULL GROUP BY 1
 """)
 def next_label_prevalence(spark: SparkSession, d: str) -> DataFrame:
-    """Prevalence of a code group at the next visit, by group of patients: the flagship query."""
-    v = visits.with_aggregates(
-        table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_orderkey", _order_codes(spark, d, "N", "codes")
-    )
-    pairs = visits.consecutive_pairs(v, "o_custkey", ["o_orderdate", "o_orderkey"], ["codes"])
-    label = has_code(split_codes(F.col("codes_next")), "Brand#1[0-9]").cast("int")
+    """Prevalence of a code group at the next visit, by group of patients: the flagship query.
+
+    Only whether a visit has a code of the group is carried along, not its codes.
+    """
+    wanted = table(spark, d, "part").where(F.col("p_brand").rlike("Brand#1[0-9]")).select(F.col("p_partkey").alias("l_partkey"))
+    hits = table(spark, d, "lineitem").where("l_returnflag = 'N'").join(wanted, "l_partkey", "left_semi").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    v = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate").join(hits.withColumn("hit", F.lit(1)), "o_orderkey", "left")
+    pairs = visits.consecutive_pairs(v.withColumn("label", F.coalesce("hit", F.lit(0))), "o_custkey", ["o_orderdate", "o_orderkey"], ["label"])
+    per = pairs.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("pairs"), F.sum("label_next").alias("positive"))
     segments = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"))
-    return pairs.withColumn("label", label).join(segments, "o_custkey").groupBy("segment").agg(
-        F.count(F.lit(1)).alias("pairs"), F.sum("label").alias("positive"), r6(F.avg("label")).alias("prevalence")
+    return per.join(segments, "o_custkey").groupBy("segment").agg(
+        F.sum("pairs").alias("pairs"), F.sum("positive").alias("positive"), r6(F.sum("positive") / F.sum("pairs")).alias("prevalence")
     )
 
 
@@ -476,13 +479,22 @@ def lab_impute(spark: SparkSession, d: str) -> DataFrame:
     return timeseries.lab_grid(_lab_cells(spark, d), ["hadm_id", "itemid"], 8).select("hadm_id", "itemid", "bucket", "signal", r6("value").alias("value"))
 
 
-@query(f"""
-WITH {_MED_CELLS} SELECT stay_id, round(coalesce(avg(CASE WHEN itemid = 920001 THEN value END), 0), 6) AS i920001, round(coalesce(avg(CASE WHEN itemid = 920002 THEN value END), 0), 6) AS i920002,
-  round(coalesce(avg(CASE WHEN itemid = 920003 THEN value END), 0), 6) AS i920003 FROM x GROUP BY 1
-""")
+#: The drugs of the fixed table of items.
+DRUGS = range(920001, 920015)
+
+
+def drugs(spark: SparkSession, d: str) -> list[int]:
+    """All drugs of the fixed table of items; an error if the SQL doesn't name them all."""
+    found = sorted(r[0] for r in table(spark, d, "d_items").where("category = 'drug'").select("itemid").collect())
+    if found != list(DRUGS):
+        raise ValueError(f"drugs are {found}")
+    return found
+
+
+@query(f"WITH {_MED_CELLS} SELECT stay_id, " + ", ".join(f"round(coalesce(avg(CASE WHEN itemid = {i} THEN value END), 0), 6) AS i{i}" for i in DRUGS) + " FROM x GROUP BY 1")
 def grid_collapse(spark: SparkSession, d: str) -> DataFrame:
-    """The grid as one row a stay, with a column an item."""
-    names = [920001, 920002, 920003]
+    """The grid as one row a stay, with a column for each drug."""
+    names = drugs(spark, d)
     wide = timeseries.collapse(_med_grid(spark, d), "stay_id", "itemid", "value", names)
     return wide.select("stay_id", *[r6(f"`{i}`").alias(f"i{i}") for i in names])
 

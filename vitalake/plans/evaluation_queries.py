@@ -278,11 +278,19 @@ def section_split(spark: SparkSession, d: str) -> DataFrame:
     return answers.sections(table(spark, d, "documents"), "doc_id", "text").groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("signs"))
 
 
-@query()
+@query("""
+WITH c AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(replace(lower(text), ';', chr(10)), '([.!?]) +', '\\1' || chr(10), 'g'), '\\n+')) AS c FROM documents WHERE text IS NOT NULL),
+e AS (SELECT * FROM (VALUES """ + ", ".join(f"('{n}', '{label}', '\\b(?:{ways})\\b')" for n, (label, ways) in answers.ENTITIES.items()) + """) AS t(entity, label, p)),
+a AS (SELECT entity, label, regexp_split_to_array(c, p) AS around FROM c, e WHERE regexp_matches(c, p)),
+m AS (SELECT *, unnest(range(1, len(around))) AS k FROM a),
+t AS (SELECT entity, label, array_to_string(around[1:k], ' | ') AS before, array_to_string(around[k + 1:], ' | ') AS after FROM m),
+s AS (SELECT entity, label, """ + ", ".join(f"regexp_matches(before, '\\b(?:{w})\\b')" + (f" OR regexp_matches(after, '\\b(?:{answers.BACKWARD[n]})\\b')" if n in answers.BACKWARD else "") + f" AS {n}" for n, w in answers.CONTEXTS.items()) + """ FROM t)
+SELECT entity, label, family, severe, current, historical, negated, count(*) AS n FROM s GROUP BY ALL
+""")
 def entity_context(spark: SparkSession, d: str) -> DataFrame:
-    """Entities of notes with their context; rules on positions, tested on small texts."""
+    """Entities of notes with their context."""
     e = answers.entities(table(spark, d, "documents"), "doc_id", "text")
-    return e.groupBy("entity", "label", "negated", "historical", "family", "severe").agg(F.count(F.lit(1)).alias("n"))
+    return e.groupBy("entity", "label", *answers.CONTEXTS).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""

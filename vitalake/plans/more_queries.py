@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalake.functions.text import padded
 from vitalake.operators import answers, cohort, metrics, mlfeed, sampling
-from vitalake.plans.cohort_queries import _MED_CELLS, _med_grid, r6
+from vitalake.plans.cohort_queries import _MED_CELLS, DRUGS, _med_grid, drugs, r6
 from vitalake.plans.evaluation_queries import _P, _PARSED, _h, _parsed, predictions
 from vitalake.sources.tables import table
 
@@ -48,11 +48,24 @@ def death_flags(spark: SparkSession, d: str) -> DataFrame:
     return v.select("stay_id", within("admittime", "dischtime").alias("in_hospital"), within("intime", "outtime").alias("in_unit"))
 
 
-@query("SELECT 'los' AS task, sum(CASE WHEN los > 5 THEN 1 ELSE 0 END)::BIGINT AS positive, count(*) AS n FROM visits_iv")
+@query("""
+WITH v AS (SELECT DISTINCT subject_id, hadm_id, admittime, dischtime FROM admissions WHERE subject_id IS NOT NULL AND admittime IS NOT NULL),
+l AS (SELECT CASE WHEN row_number() OVER (PARTITION BY subject_id ORDER BY admittime DESC, hadm_id DESC) = 1 THEN 0
+       WHEN EXISTS (SELECT 1 FROM v x WHERE x.subject_id = v.subject_id AND x.admittime > v.dischtime AND x.admittime <= v.dischtime + INTERVAL 30 DAY) THEN 1 ELSE 0 END AS label FROM v)
+SELECT 'los' AS task, sum(CASE WHEN los > 5 THEN 1 ELSE 0 END)::BIGINT AS positive, count(*) AS n FROM visits_iv
+UNION ALL SELECT 'mortality', sum(CASE WHEN hospital_expire_flag = 1 AND dischtime >= admittime THEN 1 ELSE 0 END)::BIGINT, count(*) FROM visits_iv WHERE admittime IS NOT NULL AND dischtime IS NOT NULL
+UNION ALL SELECT 'readmission', sum(label)::BIGINT, count(*) FROM l
+""")
 def label_tasks(spark: SparkSession, d: str) -> DataFrame:
-    """Labels by the name of a task."""
-    out = cohort.labelled(table(spark, d, "visits_iv"), "los", los=F.col("los"), days=5)
-    return out.agg(F.lit("los").alias("task"), F.sum("label").alias("positive"), F.count(F.lit(1)).alias("n")).select("task", "positive", "n")
+    """Labels by the name of a task, for all tasks there are."""
+    v = table(spark, d, "visits_iv").withColumn("dod", F.when(F.col("hospital_expire_flag") == 1, F.col("dischtime")))
+    a = table(spark, d, "admissions").select("subject_id", "hadm_id", "admittime", "dischtime").distinct()
+    made = {
+        "los": cohort.labelled(v, "los", los=F.col("los"), days=5), "mortality": cohort.labelled(v, "mortality", death=F.col("dod")),
+        "readmission": cohort.labelled(a, "readmission", gap_days=30),
+    }
+    one = [df.agg(F.lit(t).alias("task"), F.sum("label").alias("positive"), F.count(F.lit(1)).alias("n")).select("task", "positive", "n") for t, df in made.items()]
+    return one[0].unionByName(one[1]).unionByName(one[2])
 
 
 @query("SELECT stay_id, 2016 + (year(intime) - 2150) AS year FROM visits_iv")
@@ -101,19 +114,21 @@ def label_codes(spark: SparkSession, d: str) -> DataFrame:
     return mlfeed.label_codes(table(spark, d, "visits_iv"), ["race", "insurance"])
 
 
-@query("SELECT stay_id, coalesce((insurance = 'private')::INT, 0) AS insurance_private, coalesce((insurance = 'public')::INT, 0) AS insurance_public FROM visits_iv")
+@query("SELECT stay_id, " + ", ".join(f"coalesce((insurance = '{i}')::INT, 0) AS insurance_{i}" for i in ("other", "private", "public")) + " FROM visits_iv")
 def one_hot_demographics(spark: SparkSession, d: str) -> DataFrame:
-    """Categories as columns."""
-    return mlfeed.one_hot(table(spark, d, "visits_iv"), "stay_id", "insurance", ["private", "public"])
+    """Categories, all there are, as columns."""
+    v = table(spark, d, "visits_iv")
+    return mlfeed.one_hot(v, "stay_id", "insurance", mlfeed.categories(v, "insurance"))
 
 
 @query("WITH " + _MED_CELLS + " SELECT stay_id, " + ", ".join(
-    f"coalesce(max(CASE WHEN itemid = {i} AND bucket = {b} THEN signal END), 0) AS f{i}_{b}" for i in (920001, 920002) for b in range(6)
+    f"coalesce(max(CASE WHEN itemid = {i} AND bucket = {b} THEN signal END), 0) AS f{i}_{b}" for i in DRUGS for b in range(6)
 ) + " FROM x GROUP BY 1")
 def time_flattened(spark: SparkSession, d: str) -> DataFrame:
-    """The grid of two items as one row a stay, with a column for each item and bucket."""
-    flat = mlfeed.flattened(_med_grid(spark, d), "stay_id", "itemid", "bucket", "signal", [920001, 920002], 6)
-    return flat.select("stay_id", *[F.col(f"`{i}_{b}`").alias(f"f{i}_{b}") for i in (920001, 920002) for b in range(6)])
+    """The grid of all drugs as one row a stay, with a column for each drug and bucket."""
+    names = drugs(spark, d)
+    flat = mlfeed.flattened(_med_grid(spark, d), "stay_id", "itemid", "bucket", "signal", names, 6)
+    return flat.select("stay_id", *[F.col(f"`{i}_{b}`").alias(f"f{i}_{b}") for i in names for b in range(6)])
 
 
 @query(f"""
