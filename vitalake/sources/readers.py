@@ -139,7 +139,7 @@ def json_consolidated(spark: SparkSession, folder: str, plain: str = "raw_llm_re
     A file that isn't JSON gives null as its line.
     """
     files = json_folder(spark, folder)
-    root = F.lit("/" + folder.split("://")[-1].strip("/") + "/")
+    root = "/" + folder.split("://")[-1].strip("/") + "/"
     path = F.substring_index(F.url_decode(F.regexp_replace("path", r"^\w+:/+", "/")), root, -1)
     compact = F.to_json(F.try_parse_json("value"))
     named = F.regexp_extract(F.to_json(F.struct(F.col("rel").alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
