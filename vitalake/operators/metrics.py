@@ -42,24 +42,36 @@ def scores(tp: Column, fp: Column, tn: Column, fn: Column) -> dict[str, Column]:
 
 def confusion_metrics(df: DataFrame, y: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     """Counts and metrics of each group."""
-    counted = df.where(F.col(y).isNotNull() & F.col(pred).isNotNull()).groupBy(*by).agg(
-        *[c.alias(k) for k, c in confusion(F.col(y), F.col(pred)).items()]
+    # Counted before they are filtered, so that what labels are read from is read once a row.
+    each = df.groupBy(*by, F.col(y).alias("__y"), F.col(pred).alias("__p")).agg(F.count(F.lit(1)).alias("n"), F.max(y).alias("y"), F.max(pred).alias("p"))
+    one = lambda a, b: F.sum(F.when((F.col("y") == a) & (F.col("p") == b), F.col("n")).otherwise(0))
+    counted = each.where("y is not null and p is not null").groupBy(*by).agg(
+        one(1, 1).alias("tp"), one(0, 1).alias("fp"), one(0, 0).alias("tn"), one(1, 0).alias("fn")
     )
     return counted.select(*by, "tp", "fp", "tn", "fn", *[v.alias(k) for k, v in scores(*map(F.col, ("tp", "fp", "tn", "fn"))).items()])
 
 
+def _by_value(df: DataFrame, y: str, score: str) -> DataFrame:
+    """``score``, ``pos`` and ``neg``: positives and negatives of each score; null, NaN and other labels are left out.
+
+    Rows are counted before they are filtered, and the filter is on aggregates, as one on the grouping columns would be pushed down to
+    the rows: an expression that reads the score from a text is so evaluated once a row.
+    """
+    each = df.groupBy(F.col(score).alias("__s"), F.col(y).alias("__y")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(score).alias("score"), F.max(y).alias("y")
+    )
+    known = each.where(F.col("y").isin(0, 1) & F.col("score").isNotNull() & ~F.isnan("score"))
+    one = lambda k: F.sum(F.when(F.col("y") == k, F.col("n")).otherwise(0))
+    return known.groupBy("score").agg(one(1).alias("pos"), one(0).alias("neg"))
+
+
 def by_score(df: DataFrame, y: str, score: str) -> DataFrame:
     """Counts of positives and negatives by distinct score, with those of all higher scores.
 
     Columns: score, pos, neg, pos_above, neg_above. Scores are in 0 to 1; sums cross blocks of
     scores as one row each, so no task sees all scores.
     """
-    counted = cut(  # one row a score, used several times
-        df.where(F.col(y).isin(0, 1) & F.col(score).isNotNull() & ~F.isnan(score))
-        .groupBy(F.col(score).alias("score"))
-        .agg(F.sum((F.col(y) == 1).cast("bigint")).alias("pos"), F.sum((F.col(y) == 0).cast("bigint")).alias("neg"))
-        .withColumn("block", F.floor(F.col("score") * 4096))
-    )
+    counted = cut(_by_value(df, y, score)).withColumn("block", F.floor(F.col("score") * 4096))  # one row a score, used several times
     higher = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     # At most 4097 rows.
     offsets = counted.groupBy("block").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(
@@ -116,14 +128,11 @@ def threshold_sweep(df: DataFrame, y: str, score: str) -> DataFrame:
     """
     grid = [k / 100 for k in range(1, 100)]
     # The number of thresholds reached, compared as numbers, not by rounding.
-    guess = F.least(F.lit(99), F.greatest(F.lit(0), F.floor(F.col(score) * 100).cast("int")))
-    edges = F.array(*[F.lit(t) for t in [0.0, *grid, 2.0]])
-    reached = F.when(F.get(edges, guess + 1) <= F.col(score), guess + 1).when(F.get(edges, guess) > F.col(score), guess - 1).otherwise(guess)
-    counted = (
-        df.where(F.col(y).isin(0, 1) & F.col(score).isNotNull() & ~F.isnan(score))
-        .groupBy(reached.alias("reached"))
-        .agg(F.sum((F.col(y) == 1).cast("bigint")).alias("p"), F.sum((F.col(y) == 0).cast("bigint")).alias("n"))
-    )
+    at = F.col("score")
+    guess = F.least(F.lit(99), F.greatest(F.lit(0), F.floor(at * 100).cast("int")))
+    edge = lambda k: k.cast("double") / 100.0
+    reached = F.when((guess < 99) & (edge(guess + 1) <= at), guess + 1).when((guess > 0) & (edge(guess) > at), guess - 1).otherwise(guess)
+    counted = _by_value(df, y, score).groupBy(reached.alias("reached")).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     levels = df.sparkSession.createDataFrame([(k, t) for k, t in enumerate([0.0, *grid])], "k int, threshold double")
     above = Window.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)  # 100 rows
     everywhere = Window.partitionBy()
@@ -164,10 +173,11 @@ def calibration_error(bins: DataFrame) -> DataFrame:
 
 def fairness(df: DataFrame, y: str, pred: str, attributes: Sequence[str]) -> DataFrame:
     """Counts and rates of each group of each attribute; a division by zero is null."""
-    rows = df.where(F.col(y).isNotNull() & F.col(pred).isNotNull())
+    each = df.groupBy(*attributes, F.col(y).alias("__y"), F.col(pred).alias("__p")).agg(F.count(F.lit(1)).alias("n"), F.max(y).alias("y"), F.max(pred).alias("p"))
     sets = [F.struct(F.lit(a).alias("sensitive_attribute"), F.col(a).cast("string").alias("group")) for a in attributes]
-    long = rows.select(y, pred, F.explode(F.array(*sets)).alias("g")).select(y, pred, "g.*").where(F.col("group").isNotNull())
-    counted = long.groupBy("sensitive_attribute", "group").agg(*[c.alias(k) for k, c in confusion(F.col(y), F.col(pred)).items()])
+    long = each.where("y is not null and p is not null").select("y", "p", "n", F.explode(F.array(*sets)).alias("g")).select("y", "p", "n", "g.*").where(F.col("group").isNotNull())
+    one = lambda a, b: F.sum(F.when((F.col("y") == a) & (F.col("p") == b), F.col("n")).otherwise(0))
+    counted = long.groupBy("sensitive_attribute", "group").agg(one(1, 1).alias("tp"), one(0, 1).alias("fp"), one(0, 0).alias("tn"), one(1, 0).alias("fn"))
     tp, fp, tn, fn = map(F.col, ("tp", "fp", "tn", "fn"))
     n = tp + fp + tn + fn
     return counted.select(
