@@ -302,3 +302,17 @@ def test_cases_and_small_reports(spark):
         spark.createDataFrame([(1, 1, dt.datetime(2130, 1, 1), dt.datetime(2130, 1, 2))], "subject_id int, hadm_id int, admittime timestamp_ntz, dischtime timestamp_ntz"),
         spark.createDataFrame([(1, "I50")], "hadm_id int, c string"), "hadm_id", F.col("c"), "^I50", 30,
     ).first()["label"] == 0
+
+
+def test_units_by_composition():
+    from vitalake.operators.units import conversions
+
+    rows = {(item, key): (unit, factor, offset) for item, key, unit, _, factor, offset in conversions([(1, "mg/dL", True, 1.0), (1, "mmol/L", False, 18.016), (2, "degC", True, 1.0)], unlisted=True)}
+    assert rows[1, "g/l"][0] == "g/L"
+    assert math.isclose(rows[1, "g/l"][1], 100.0)  # by way of mg/L
+    assert math.isclose(rows[1, "umol/l"][1], 0.018016)
+    assert rows[1, "mg/dl"] == ("mg/dL", 1.0, 0.0)
+    unit, factor, offset = rows[2, "degf"]
+    assert math.isclose(98.6 * factor + offset, 37.0)
+    with pytest.raises(ValueError, match=r"disagree|two conversions"):
+        conversions([(1, "g/dL", True, 1.0), (1, "g/L", False, 0.2)])

@@ -28,6 +28,12 @@ SPELLINGS = [
 #: Words in the place of a unit that name none; fixed values.
 NO_UNIT = ["", "n/a", "na", "none", "-", "--", "unknown", "null", "nan", "?", "."]
 
+#: Conversions that hold for any quantity: from, to, factor, offset; fixed values.
+GENERAL = [
+    ("g/dL", "g/L", 10.0, 0.0), ("g/L", "mg/L", 1000.0, 0.0), ("mg/dL", "mg/L", 10.0, 0.0), ("mg/L", "ng/mL", 1000.0, 0.0), ("ng/mL", "ng/L", 1000.0, 0.0),
+    ("mmol/L", "umol/L", 1000.0, 0.0), ("K/uL", "cells/uL", 1000.0, 0.0), ("10^9/L", "K/uL", 1.0, 0.0), ("degF", "degC", 5 / 9, -160 / 9),
+]
+
 TOLERANCE = 1e-6
 
 
@@ -95,11 +101,18 @@ class UnitGraph:
         return found
 
 
-def conversions(units: Iterable[tuple]) -> list[tuple]:
+def _names(unit: str) -> list[str]:
+    """All spellings of a unit, itself first."""
+    return next((s for s in SPELLINGS if _key(unit) in {_key(x) for x in s}), [unit])
+
+
+def conversions(units: Iterable[tuple], unlisted: bool = False) -> list[tuple]:
     """(item, key, unit, common unit, factor, offset) for each spelling of each unit of an item.
 
     ``units``: (item, unit, is_common, factor to common). Spellings are nodes of the
-    item's graph, with an edge to the unit they spell.
+    item's graph, with an edge to the unit they spell; so are the units of ``GENERAL`` that are joined to those of the item. Ways
+    around a cycle, such as a listed factor and a general one, must agree. A unit of the item goes by the name in
+    ``units``; with ``unlisted`` there are rows for the other units, too, in which it may be recorded without being listed.
     """
     by_item: dict[object, list[tuple]] = defaultdict(list)
     for item, unit, common, factor in units:
@@ -107,16 +120,26 @@ def conversions(units: Iterable[tuple]) -> list[tuple]:
     rows = []
     for item, own in by_item.items():
         target = next(u for u, common, _ in own if common)
+        name = {_key(u): u for u, _, _ in own}
         graph = UnitGraph()
+        for a, b, factor, offset in GENERAL:
+            ours = [next((name[k] for k in map(_key, _names(x)) if k in name), x) for x in (a, b)]
+            graph.add(("unit", ours[0]), ("unit", ours[1]), Affine(factor, offset))
         for unit, _, factor in own:
             graph.add(("unit", unit), ("unit", target), Affine(factor))
-            same = next((s for s in SPELLINGS if _key(unit) in {_key(x) for x in s}), [unit])
-            for spelling in {_key(x) for x in [unit, *same]}:
+        # Spellings of the item's own units come first: G/L of cells isn't g/L.
+        taken = set()
+        reached = [n for _, n in graph.to(("unit", target))]
+        for unit in sorted(reached, key=lambda n: _key(n) not in name):
+            for spelling in {_key(x) for x in [unit, *_names(unit)]} - taken:
                 graph.add(("spelling", spelling), ("unit", unit), Affine(1.0))
-        for (kind, name), f in graph.to(("unit", target)).items():
+                taken.add(spelling)
+        for (kind, spelled), f in graph.to(("unit", target)).items():
             if kind == "spelling":
-                unit = next(u for k, u in graph.edges[kind, name] if k == "unit")
-                rows.append((item, name, unit, target, f.factor, f.offset))
+                unit = next(u for k, u in graph.edges[kind, spelled] if k == "unit")
+                if not unlisted and _key(unit) not in name:
+                    continue
+                rows.append((item, spelled, unit, target, f.factor, f.offset))
     return rows
 
 
@@ -133,14 +156,14 @@ def harmonise(df: DataFrame, units: DataFrame, key: str = "labevent_id") -> Data
     that in the text; if neither names one, the number tells it where it is outside
     the plausible range of the common unit and inside that of exactly one other,
     and else it counts as common. Rows without a number or of an item not in ``units``
-    are left out; a unit that the item isn't recorded in is ``unknown`` and the row
+    are left out; a unit that no conversion leads from is ``unknown`` and the row
     has no common value. Repeated rows are kept; an empty table gives an empty one.
     """
     listed = [tuple(r) for r in units.select("itemid", "uom", "is_common", "factor_to_common").collect()]  # fixed table
     spark = df.sparkSession
     edges = F.broadcast(
         spark.createDataFrame(
-            conversions(listed),
+            conversions(listed, unlisted=True),
             "itemid bigint, unit_key string, uom string, common_uom string, factor double, offset double",
         )
     )

@@ -107,6 +107,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_converted(spark, folder).where("not is_common").select("labevent_id", "uom")
 
 
+def p5_ways(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers of each item by where their unit was found; unknown units are counted, too."""
+    return p5_converted(spark, folder).groupBy("itemid", "found").agg(F.count(F.lit(1)).alias("n"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Impossible, stuck (of the very same value) and leaping readings."""
     return faulty_readings(readings(spark, folder).where("not missing and t is not null"), items(spark, folder), vanishing=0.0)
@@ -127,6 +132,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_converted": p5_converted,
+    "p5_ways": p5_ways,
     "p6_found": p6_found,
     "p6_exact": p6_exact,
 }

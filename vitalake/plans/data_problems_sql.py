@@ -44,8 +44,7 @@ def _sql_key(c: str) -> str:
     return rf"regexp_replace(translate(lower({c}), 'µμ×', 'uux'), '[\s\[\]()]+', '', 'g')"
 
 
-ORACLE_SQL = {
-    "p5_found": rf"""
+_TOLD = rf"""
 WITH names(list, k) AS (VALUES {_NAMES}),
 own AS (
   SELECT DISTINCT itemid, uom, {_sql_key('uom')} AS k FROM lab_units
@@ -65,9 +64,17 @@ told AS (
     (SELECT count(*) FROM lab_units l WHERE l.itemid = k.itemid AND NOT is_common AND k.number BETWEEN plausible_low AND plausible_high) AS fits,
     (SELECT any_value(uom) FROM lab_units l WHERE l.itemid = k.itemid AND NOT is_common AND k.number BETWEEN plausible_low AND plausible_high) AS fit
   FROM keyed k WHERE number IS NOT NULL)
-SELECT labevent_id, uom FROM (
-  SELECT labevent_id, common, coalesce(cu, tu, CASE WHEN ck IS NULL AND tk IS NULL THEN CASE WHEN off AND fits = 1 THEN fit ELSE common END END) AS uom FROM told)
-WHERE uom <> common
+"""
+_UNIT = "coalesce(cu, tu, CASE WHEN ck IS NULL AND tk IS NULL THEN CASE WHEN off AND fits = 1 THEN fit ELSE common END END)"
+_WAY = "CASE WHEN cu IS NOT NULL THEN 'column' WHEN tu IS NOT NULL THEN 'text' WHEN ck IS NULL AND tk IS NULL THEN CASE WHEN off AND fits = 1 THEN 'range' ELSE 'assumed' END ELSE 'unknown' END"
+
+ORACLE_SQL = {
+    "p5_found": f"{_TOLD} SELECT labevent_id, uom FROM (SELECT labevent_id, common, {_UNIT} AS uom FROM told) WHERE uom <> common",
+    "p5_ways": f"{_TOLD} SELECT itemid, {_WAY} AS found, count(*) AS n FROM told GROUP BY 1, 2",
+    "p5_converted": f"""{_TOLD},
+u AS (SELECT labevent_id, itemid, number, {_UNIT} AS uom, common AS common_uom, {_WAY} AS found FROM told)
+SELECT labevent_id, u.itemid, number, u.uom, common_uom, number * factor_to_common AS common_value, u.uom = common_uom AS is_common, found
+FROM u LEFT JOIN lab_units l ON l.itemid = u.itemid AND l.uom = u.uom
 """,
     "p2_found": f"""
 WITH {_CHART},
