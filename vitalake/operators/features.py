@@ -172,3 +172,21 @@ def pivoted_top(events: DataFrame, key: str, code: str, subject: str, n: int, va
     kept = events.where(F.col(code).isin(chosen))
     cell = F.max(F.lit(1)) if value is None else F.avg(value)
     return kept.groupBy(key).pivot(code, chosen).agg(cell).na.fill(0)
+
+
+def in_cohort(domains: dict[str, DataFrame], cohort: DataFrame, visit: str, chosen: dict[str, DataFrame] | None = None, code: str = "code") -> dict[str, DataFrame]:
+    """Each domain's events of the visits of a cohort; of a domain with a list of ``chosen`` codes, those alone.
+
+    ``domains`` with an event table each; ``chosen`` has one column ``code``.
+    """
+    visits = cohort.select(visit).where(F.col(visit).isNotNull()).distinct()
+    out = {name: df.join(visits, visit, "left_semi") for name, df in domains.items()}
+    for name, codes in (chosen or {}).items():
+        out[name] = out[name].join(codes.select(code).distinct(), code, "left_semi")
+    return out
+
+
+def output_frame(df: DataFrame, key: str, y: str, score: str, demographics: DataFrame, by: str) -> DataFrame:
+    """What a model gave for each row: label, probability, its logarithm of odds to base 2, and the demographics by ``by``."""
+    odds = F.when((F.col(score) > 0) & (F.col(score) < 1), F.log2(F.col(score) / (1 - F.col(score))))
+    return df.select(key, by, F.col(y).alias("y"), F.col(score).alias("probability"), odds.alias("logit")).join(demographics, by, "left")

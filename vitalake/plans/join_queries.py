@@ -295,3 +295,30 @@ def top_items(spark: SparkSession, d: str) -> DataFrame:
 def notes_of_types(spark: SparkSession, d: str) -> DataFrame:
     """Notes of chosen types."""
     return features.of_kinds(table(spark, d, "documents").select("doc_id", "note_type"), "note_type", ["nursing note", "radiology report"])
+
+
+@query("""
+WITH c AS (SELECT DISTINCT hadm_id FROM visits_iv WHERE hadm_id IS NOT NULL), t AS (SELECT itemid FROM labevents GROUP BY 1 HAVING count(*) >= 500)
+SELECT 'labs' AS domain, count(*) AS n, count(DISTINCT hadm_id) AS visits FROM labevents WHERE hadm_id IN (SELECT hadm_id FROM c) AND itemid IN (SELECT itemid FROM t)
+UNION ALL SELECT 'drugs', count(*), count(DISTINCT hadm_id) FROM preproc_med_icu WHERE hadm_id IN (SELECT hadm_id FROM c)
+""")
+def domain_features(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a cohort's visits by domain, of one domain for a list of chosen items."""
+    labs = table(spark, d, "labevents").select("hadm_id", F.col("itemid").alias("code"))
+    listed = labs.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n >= 500").select("code")
+    made = features.in_cohort({"labs": labs, "drugs": table(spark, d, "preproc_med_icu").select("hadm_id", F.col("itemid").alias("code"))}, table(spark, d, "visits_iv"), "hadm_id", {"labs": listed})
+    rows = [df.agg(F.lit(n).alias("domain"), F.count(F.lit(1)).alias("n"), F.count_distinct("hadm_id").alias("visits")) for n, df in made.items()]
+    return rows[0].unionByName(rows[1])
+
+
+@query("""
+WITH p AS (SELECT subject_id, race, insurance, row_number() OVER (PARTITION BY subject_id ORDER BY intime, stay_id) AS n FROM visits_iv WHERE subject_id IS NOT NULL)
+SELECT pair_id, test.subject_id, label_lipid_disorder AS y, (pair_id % 100) / 100.0::DOUBLE AS probability, round(CASE WHEN pair_id % 100 > 0 THEN log2((pair_id % 100) / 100.0::DOUBLE / (1 - (pair_id % 100) / 100.0::DOUBLE)) END, 6) AS logit, race, insurance
+FROM test LEFT JOIN p ON p.subject_id = test.subject_id AND n = 1
+""")
+def output_frame(spark: SparkSession, d: str) -> DataFrame:
+    """Labels, probabilities, logits and demographics side by side; the probability is made from the id."""
+    stays = table(spark, d, "visits_iv").where("subject_id is not null").select("subject_id", "intime", "stay_id", "race", "insurance")
+    people = checked.distinct_on(stays, ["subject_id"], ["intime", "stay_id"]).drop("intime", "stay_id")
+    t = table(spark, d, "test").select("pair_id", "subject_id", F.col("label_lipid_disorder").alias("y"), ((F.col("pair_id") % 100) / 100.0).alias("score"))
+    return features.output_frame(t, "pair_id", "y", "score", people, "subject_id").withColumn("logit", r6("logit"))
