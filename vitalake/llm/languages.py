@@ -66,9 +66,12 @@ def scores(text: str) -> dict[str, float]:
     return out
 
 
-@lru_cache(maxsize=8192)
 def language(text: str, least: float = 2.0, margin: float = 1.3) -> str | None:
     """The language of ``text``, or None where the evidence is slight."""
+    return (_of_short if len(text) <= 400 else _language)(text, least, margin)
+
+
+def _language(text: str, least: float, margin: float) -> str | None:
     kind = script(text)
     if kind == "han":
         return "zh"
@@ -89,6 +92,12 @@ def language(text: str, least: float = 2.0, margin: float = 1.3) -> str | None:
     return best
 
 
+@lru_cache(maxsize=8192)
+def _of_short(text: str, least: float, margin: float) -> str | None:
+    """``_language`` of a short text, as these come again and again."""
+    return _language(text, least, margin)
+
+
 def _ahead(found: dict[str, float], least: float, margin: float) -> str | None:
     ranked = sorted(((v, k) for k, v in found.items()), reverse=True)
     return ranked[0][1] if ranked[0][0] >= least and ranked[0][0] >= margin * ranked[1][0] else None

@@ -203,7 +203,7 @@ _RIGHT = set("≥≤→←✓☐≠≈…–—“”‘’€°±µ½×²³")
 
 def _latin(text: str) -> tuple[str, tuple[str, str] | None]:
     """Latin text of one single-byte encoding that was taken for another, read anew."""
-    marked = _SHARP_S.search(text) and language(text) in ("en", "fr", "es", "pt", "pl")
+    marked = _SHARP_S.search(text) and language(text, least=6.0) in ("en", "fr", "es", "pt", "pl")
     if not marked and not _ODD.search(text):
         return text, None
     # Signs whose neighbours tell are judged with them, the rest within its word.
