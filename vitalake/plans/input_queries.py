@@ -118,7 +118,7 @@ def _drug_ids(spark: SparkSession, d: str) -> list[int]:
 @query(f"""
 WITH {_MED_CELLS}, i AS (SELECT itemid, row_number() OVER (ORDER BY itemid) AS n FROM d_items WHERE category = 'drug'),
 w AS (SELECT stay_id, bucket, n, max(signal) AS signal, max(value) AS value FROM x JOIN i USING (itemid) GROUP BY 1, 2, 3)
-SELECT stay_id, bucket, string_agg(n, ' ' ORDER BY n) FILTER (WHERE signal = 1) AS ids, round(sum(value), 4) AS total FROM w GROUP BY 1, 2
+SELECT stay_id, bucket, string_agg(n, ' ' ORDER BY n) FILTER (WHERE signal = 1) AS ids, round(sum(value) + 1e-7, 4) AS total FROM w GROUP BY 1, 2
 """)
 def code_matrices(spark: SparkSession, d: str) -> DataFrame:
     """Drugs of a stay by bucket as arrays over all drugs: numbers of those under way, and doses."""
@@ -126,7 +126,7 @@ def code_matrices(spark: SparkSession, d: str) -> DataFrame:
     ids = F.filter("ids", lambda x: x > 0)
     return m.select(
         "stay_id", "bucket", F.when(F.size(ids) > 0, F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")).alias("ids"),
-        F.round(F.aggregate("values", F.lit(0.0), lambda s, x: s + x), 4).alias("total"),
+        F.round(F.aggregate("values", F.lit(0.0), lambda s, x: s + x) + 1e-7, 4).alias("total"),
     )
 
 
