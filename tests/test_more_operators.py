@@ -262,8 +262,12 @@ def test_prompts(spark):
     ).first()
     want = json.dumps({"messages": [{"role": "user", "content": text}], "model": "m", "temperature": 0.5, "seed": None}, sort_keys=True)
     assert row.k == hashlib.sha256(want.encode()).hexdigest()
-    assert prompting.consolidated(["a ", "", "b"]) == "a\n---\nb"
-    assert prompting.consolidated(["a", "b"], "llm", lambda p: [p[0].upper()]) == "A\n---\nB"
+    assert prompting.consolidated(["a", "", "b"]) == "Batch 1:\na\n\n---\n\nBatch 3:\nb"
+    assert prompting.consolidated(["a"], "llm", lambda p: [p[0].upper() + " "]) == "BATCH 1:\nA"
+    assert prompting.consolidated(["a"], "llm", lambda p: 1 / 0) == "Batch 1:\na"
+    assert prompting.template_of("coagent_calibration") == prompting.template_of("few_shot")
+    with pytest.raises(ValueError, match="mode"):
+        prompting.template_of("x")
     with pytest.raises(ValueError, match="consolidate"):
         prompting.consolidated(["a"], "x")
 

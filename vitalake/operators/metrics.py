@@ -282,7 +282,7 @@ def two_settings(df: DataFrame, y: str, score: str, threshold: float, by: Sequen
 
 
 #: Names of models and modes in reports, by how they are written in data; fixed values.
-DISPLAY = {"zero_shot": "Zero-Shot", "few_shot": "Few-Shot", "coagent": "Co-Agent", "by_mode": "By mode", "by_model": "By model"}
+DISPLAY = {"zero_shot": "Zero-Shot", "zero_shot_plus": "Zero-Shot+", "few_shot": "Few-Shot (N=6)", "coagent": "Co-Agent"}
 
 
 def displayed(c: Column) -> Column:

@@ -17,11 +17,21 @@ _SLOT = re.compile(r"\{\{\s*(\w+)\s*\}\}")
 
 #: The template of each way to ask; fixed values.
 TEMPLATES = {
-    "zero_shot": "predictor_zero_shot.txt", "zero_shot_plus": "predictor_zero_shot_plus.txt", "few_shot": "predictor_few_shot.txt",
-    "few_shot_plus": "predictor_few_shot_plus.txt", "coagent": "predictor_coagent.txt",
+    "zero_shot": "predictor_zero_shot.txt",
+    "zero_shot_plus": "predictor_zero_shot_plus.txt",
+    "few_shot": "predictor_few_shot.txt",
+    "coagent_calibration": "predictor_few_shot.txt",
+    "coagent": "predictor_coagent_base.txt",
 }
 
 
+def template_of(mode: str) -> str:
+    """The file of the template of a way to ask; a ValueError for an unknown one."""
+    if mode not in TEMPLATES:
+        raise ValueError(f"unknown mode {mode}")
+    return TEMPLATES[mode]
+
+
 def blocks(template: str) -> dict[str, str]:
     """The named blocks of a template, stripped; marks of raw text are taken out."""
     return {m.group(1): m.group(2).strip() for m in _BLOCK.finditer(_RAW.sub("", template))}
@@ -140,13 +150,19 @@ def critic_rounds(wrong: DataFrame, key: str, size: int, rounds: int, seed: int
 
 
 def consolidated(pieces: list[str], method: str = "heuristic", complete: Callable[[list[str]], list[str]] | None = None) -> str:
-    """Advice put together: ``heuristic`` joins the pieces by ``---``, ``llm`` lets ``complete`` write one text of that."""
-    text = "\n---\n".join(p.strip() for p in pieces if p and p.strip())
-    if method == "heuristic":
+    """Advice put together: ``heuristic`` numbers the pieces that aren't empty and joins them by ``---``, ``llm`` lets ``complete`` write one text of that.
+
+    Where ``complete`` fails or gives nothing, the joined pieces are taken.
+    """
+    text = "\n\n---\n\n".join(f"Batch {i}:\n{p}" for i, p in enumerate(pieces, 1) if p)
+    if method == "heuristic" or not text:
         return text
     if method != "llm" or complete is None:
         raise ValueError(f"can't consolidate by {method}")
-    return complete([text])[0].strip() or text
+    try:
+        return complete([text])[0].strip() or text
+    except Exception:  # noqa: BLE001
+        return text
 
 
 def out_of_fold(df: DataFrame, fold: str, k: int, fit: Callable[[DataFrame], object], score: Callable[[object, DataFrame], DataFrame]) -> DataFrame:

@@ -9,7 +9,8 @@ from vitalake.operators.ranks import blocked_rank
 
 #: A multiplicative hash on whole numbers that any SQL engine has.
 MULTIPLIER, MODULUS = 2_654_435_761, 4_294_967_296
-BLOCK = 1 << 22
+#: Rows are ranked in blocks of the hash, 16,384 of them.
+BLOCK = 1 << 18
 
 
 def arithmetic_hash(key: Column, seed: int = 0) -> Column:

@@ -11,6 +11,7 @@ from vitalake.functions.text import (
 )
 from vitalake.operators import cohort, features, timeseries, visits
 from vitalake.operators.answers import narrative
+from vitalake.operators.ranks import grouped_percentiles
 from vitalake.plans.data_problems_sql import _T
 from vitalake.sources.readers import profile
 from vitalake.sources.tables import table
@@ -138,10 +139,10 @@ SELECT count({_DAYS}) AS n, round(min({_DAYS}), 6) AS low, round(quantile_cont({
 """)
 def timing_summary(spark: SparkSession, d: str) -> DataFrame:
     """Count, least, median, greatest and mean days to the next visit."""
-    x = visits.days_between(F.col("admittime_current"), F.col("admittime_next"))
-    return table(spark, d, "test").select(x.alias("x")).agg(
-        F.count("x").alias("n"), r6(F.min("x")).alias("low"), r6(F.expr("percentile(x, 0.5D)")).alias("median"), r6(F.max("x")).alias("high"), r6(F.avg("x")).alias("mean")
-    )
+    x = table(spark, d, "test").select(F.lit(1).alias("one"), visits.days_between(F.col("admittime_current"), F.col("admittime_next")).alias("x"))
+    middle = grouped_percentiles(x, "one", "x", [0.5]).agg(F.max(F.col("p")[0]).alias("median"))
+    rest = x.agg(F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mean"))
+    return rest.crossJoin(middle).select("n", *[r6(c).alias(c) for c in ("low", "median", "high", "mean")])  # one row each
 
 
 @query("""

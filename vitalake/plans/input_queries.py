@@ -422,11 +422,13 @@ def confidence_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_P} SELECT CASE prompt_mode WHEN 'zero_shot' THEN 'Zero-Shot' WHEN 'few_shot' THEN 'Few-Shot' WHEN 'coagent' THEN 'Co-Agent' END AS mode, count(*) AS n FROM p WHERE prompt_mode IN ('zero_shot', 'few_shot', 'coagent') GROUP BY 1
+WITH {_P} SELECT CASE prompt_mode WHEN 'zero_shot' THEN 'Zero-Shot' WHEN 'zero_shot_plus' THEN 'Zero-Shot+' WHEN 'few_shot' THEN 'Few-Shot (N=6)' WHEN 'coagent' THEN 'Co-Agent' END AS mode, count(*) AS n
+FROM p WHERE prompt_mode IN ('zero_shot', 'zero_shot_plus', 'few_shot', 'coagent') GROUP BY 1
 """)
 def display_names(spark: SparkSession, d: str) -> DataFrame:
     """Answers by the name of the mode in reports."""
-    return predictions(spark, d).where(F.col("prompt_mode").isin("zero_shot", "few_shot", "coagent")).groupBy(metrics.displayed(F.col("prompt_mode")).alias("mode")).agg(F.count(F.lit(1)).alias("n"))
+    known = predictions(spark, d).where(F.col("prompt_mode").isin(*metrics.DISPLAY))
+    return known.groupBy(metrics.displayed(F.col("prompt_mode")).alias("mode")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalake.operators import checked, codes, cohort, features
-from vitalake.plans.cohort_queries import r6
+from vitalake.plans.cohort_queries import _events, r6
 from vitalake.sources.tables import table
 
 QUERIES: dict = {}
@@ -322,3 +322,49 @@ def output_frame(spark: SparkSession, d: str) -> DataFrame:
     people = checked.distinct_on(stays, ["subject_id"], ["intime", "stay_id"]).drop("intime", "stay_id")
     t = table(spark, d, "test").select("pair_id", "subject_id", F.col("label_lipid_disorder").alias("y"), ((F.col("pair_id") % 100) / 100.0).alias("score"))
     return features.output_frame(t, "pair_id", "y", "score", people, "subject_id").withColumn("logit", r6("logit"))
+
+
+#: Kinds of events, their flag and how many titles of each a narrative names; fixed values.
+_KINDS = {"diagnoses": ("A", 12), "procedures": ("N", 12), "medications": ("R", 20)}
+
+
+@query("""
+WITH e AS (
+  SELECT o_custkey, l_returnflag AS f, p_name, min((o_orderdate, o_orderkey, l_linenumber, l_partkey)) AS o FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3),
+n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, f ORDER BY o, p_name) AS rn FROM e),
+t AS (SELECT o_custkey, string_agg(p_name, ', ' ORDER BY rn) FILTER (WHERE f = 'A' AND rn <= 12) AS a, string_agg(p_name, ', ' ORDER BY rn) FILTER (WHERE f = 'N' AND rn <= 12) AS b,
+  string_agg(p_name, ', ' ORDER BY rn) FILTER (WHERE f = 'R' AND rn <= 20) AS c FROM n GROUP BY 1),
+k AS (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1)
+SELECT c_custkey AS subject, 'Patient ' || c_custkey || ': ' || coalesce(k, 0) || ' admissions; diagnoses: ' || coalesce(a, 'None recorded') || '; procedures: ' || coalesce(b, 'None recorded') || '; medications: ' || coalesce(c, 'None recorded') || '.' AS narrative
+FROM customer LEFT JOIN k ON k.o_custkey = c_custkey LEFT JOIN t ON t.o_custkey = c_custkey
+""")
+def patient_narratives(spark: SparkSession, d: str) -> DataFrame:
+    """A sentence for each patient with the first distinct titles of all three kinds of events."""
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    ev = orders.join(_events(spark, d).withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey").select(
+        "o_custkey", F.col("l_returnflag").alias("f"), F.col("p_name").alias("title"), F.struct("o_orderdate", "o_orderkey", "l_linenumber", "l_partkey").alias("o")
+    )
+    first = ev.groupBy("o_custkey", "f", "title").agg(F.min("o").alias("o"))
+    most = F.when(F.col("f") == "R", 20).otherwise(12)
+    ranked = features.rank_within(first, ["o_custkey", "f"], [F.col("o"), F.col("title")]).where(F.col("rn") <= most)
+    text = lambda flag: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("f") == flag, F.struct("rn", "title")))), lambda x: x["title"]), ", ")
+    titles = ranked.groupBy("o_custkey").agg(*[text(flag).alias(n) for n, (flag, _) in _KINDS.items()])
+    n = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("k"))
+    said = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.col(c)).otherwise("None recorded")
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")).join(n, "o_custkey", "left").join(titles, "o_custkey", "left").select(
+        F.col("o_custkey").alias("subject"),
+        F.format_string(
+            "Patient %s: %s admissions; diagnoses: %s; procedures: %s; medications: %s.", F.col("o_custkey"), F.coalesce("k", F.lit(0)), *[said(c) for c in _KINDS]
+        ).alias("narrative"),
+    )
+
+
+@query("""
+SELECT o_orderkey, c_mktsegment AS segment, n_name AS nation, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+""")
+def visits_with_patients(spark: SparkSession, d: str) -> DataFrame:
+    """Visits with their patient and the patient's demographics: two inner joins."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("n_nationkey"))
+    n = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("nation"))
+    v = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return v.join(c, "o_custkey").join(n, "n_nationkey").select("o_orderkey", "segment", "nation", "o_totalprice")
