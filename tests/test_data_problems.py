@@ -355,5 +355,4 @@ def test_flags_do_not_depend_on_the_cuts(spark, monkeypatch):
     whole = found[10_000]
     assert len(whole) > 100
     for size in (1024, 700, 311):
-        assert {x for x in found[size] if x[1] == "stuck"} == {x for x in whole if x[1] == "stuck"}
-        assert len(found[size] ^ whole) <= 0.02 * len(whole)
+        assert found[size] == whole

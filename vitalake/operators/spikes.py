@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalake.operators.ranks import blocked_dense_rank
+from vitalake.operators.ranks import blocked_dense_rank, join_small
+from vitalake.session import stored
 
 STUCK_RUN = 6
 SPIKE_RUN = 3
@@ -23,6 +24,9 @@ HALO_READINGS = 64
 #: Readings are ranked in blocks of so many grid periods of their item.
 BLOCK_PERIODS = 240
 
+#: Steps are counted by size in so many bins an octave, 0.3 percent each.
+BINS, ZERO = 256, -(1 << 40)
+
 NONE, IMPOSSIBLE, STUCK, SPIKE = 0, 1, 2, 3
 KINDS = np.array([None, "impossible", "stuck", "spike"], dtype=object)
 
@@ -33,28 +37,45 @@ def _quantile(ordered: list[float], q: float) -> float:
     return ordered[i] if i + 1 == len(ordered) else ordered[i] + (at - i) * (ordered[i + 1] - ordered[i])
 
 
-def _scatter(x: list[float], held: list[bool]) -> float:
+def _bins(x: np.ndarray) -> np.ndarray:
+    """Steps by size, ``BINS`` to an octave; those without length are ``ZERO``."""
+    with np.errstate(divide="ignore"):
+        return np.where(x > 0, np.floor(np.log2(np.where(x > 0, x, 1.0)) * BINS), ZERO).astype(np.int64)
+
+
+def _sizes(bins: np.ndarray) -> np.ndarray:
+    return np.where(bins == ZERO, 0.0, 2.0 ** ((bins + 0.5) / BINS))
+
+
+def _scatter(steps: np.ndarray, held: np.ndarray) -> float:
     """Usual scatter of a reading: from steps between readings that aren't stuck."""
-    steps = [abs(b - a) for a, b in zip(x, x[1:], strict=False)]
-    free = sorted(s for s, a, b in zip(steps, held, held[1:], strict=False) if not (a and b))
+    sizes = _sizes(_bins(steps))
+    free = sizes[~held]
     if len(free) < 3:
-        free = sorted(steps)
-    if not free:
+        free = sizes
+    if not len(free):
         return 0.0
-    least = 0.3 * min((s for s in steps if s > 0), default=0.0)
+    moved = sizes[sizes > 0]
+    middle, high = np.quantile(free, [0.5, 0.7])
+    least = 0.3 * moved.min() if len(moved) else 0.0
     # Both quantiles as standard deviations of a reading; few steps tend to look calmer than the source is.
-    return max(_quantile(free, 0.5) / 0.954, 0.85 * _quantile(free, 0.7) / 1.466, least) * (1 + 2 / len(free))
+    return max(middle / 0.954, 0.85 * high / 1.466, least) * (1 + 2 / len(free))
 
 
-def _filter(t: list[int], x: list[float], sigma: float, threshold: float) -> list[int]:
+def _pause(t: np.ndarray) -> float:
+    """The usual time between two readings."""
+    gaps = np.diff(t)
+    gaps = gaps[gaps > 0]
+    return float(np.median(_sizes(_bins(gaps.astype(float))))) if len(gaps) else 1.0
+
+
+def _filter(t: list[int], x: list[float], sigma: float, usual: float, threshold: float) -> list[int]:
     """Places of spikes in ``x`` by a local-level Kalman filter.
 
     A reading whose standardised innovation is above ``threshold`` is withheld. If
     the level is met again within three withheld readings, they are spikes; if
     more are withheld, the level has moved and the filter starts anew from them.
     """
-    gaps = sorted(b - a for a, b in zip(t, t[1:], strict=False) if b > a)
-    usual = _quantile(gaps, 0.5) if gaps else 1.0
     r = sigma * sigma
     drift = 0.09 * r / usual
     most = 0.4 * r  # a long pause doesn't excuse a leap; a level that moved in it is found by what follows
@@ -97,6 +118,32 @@ def _tolerance(innovation: np.ndarray, change: np.ndarray, vanishing: float) ->
     return out
 
 
+def _states(change: np.ndarray, v: np.ndarray, low: np.ndarray, high: np.ndarray, vanishing: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which readings are outside the bounds, and which are in a run long enough to be stuck."""
+    # Innovations against the last reading: in a run none of them is above the tolerance, so their variance vanishes.
+    innovation = np.abs(np.diff(v))
+    starts = np.flatnonzero(change | np.r_[True, innovation > _tolerance(innovation, change, vanishing)])
+    run = np.diff(np.r_[starts, len(v)])
+    return (v < low) | (v > high), np.repeat(run >= STUCK_RUN, run)
+
+
+def measure_block(t: np.ndarray, v: np.ndarray, own: np.ndarray, low: np.ndarray, high: np.ndarray, vanishing: float) -> list[tuple[int, int, int]]:
+    """(what, bin, number) of the steps and pauses that end in an own reading of a block: 0 and 1 steps free and held, 2 pauses.
+
+    Added up over the blocks of a source, they are those of the source, however it is cut.
+    """
+    new = np.r_[True, (t[1:] != t[:-1]) | (v[1:] != v[:-1])]
+    t, v, own, low, high = (a[new] for a in (t, v, own, low, high))
+    wrong, held = _states(np.r_[True, np.zeros(len(v) - 1, bool)], v, low, high, vanishing)
+    t, v, own, held = (a[~wrong] for a in (t, v, own, held))
+    mine = own[1:]
+    pause = np.diff(t)[mine]
+    kept = [
+        (0, np.abs(np.diff(v))[mine & ~(held[1:] & held[:-1])]), (1, np.abs(np.diff(v))[mine & held[1:] & held[:-1]]), (2, pause[pause > 0].astype(float)),
+    ]
+    return [(what, int(b), int(n)) for what, x in kept for b, n in zip(*np.unique(_bins(x), return_counts=True), strict=True)]
+
+
 def flag_sources(
     source: np.ndarray,
     t: np.ndarray,
@@ -106,10 +153,12 @@ def flag_sources(
     setting: np.ndarray,
     threshold: float = THRESHOLD,
     vanishing: float = VANISHING,
+    known: np.ndarray | None = None,
 ) -> np.ndarray:
     """Kinds of readings, sorted by source, time and value.
 
-    Readings equal in source, time and value count once and get the same kind.
+    Readings equal in source, time and value count once and get the same kind. ``known`` has the scatter and the usual pause of
+    each reading's source; without it, they are those of the readings given.
     """
     if not len(t):
         return np.zeros(0, np.int8)
@@ -118,26 +167,23 @@ def flag_sources(
     of = np.cumsum(new) - 1
     change, t, v, low, high, setting, source = (a[new] for a in (change, t, v, low, high, setting, source))
     kind = np.zeros(len(t), np.int8)
-    wrong = (v < low) | (v > high)
-    # Innovations against the last reading: in a run none of them is above the tolerance, so their variance vanishes.
-    innovation = np.abs(np.diff(v))
-    starts = np.flatnonzero(change | np.r_[True, innovation > _tolerance(innovation, change, vanishing)])
-    run = np.diff(np.r_[starts, len(v)])
-    held = np.repeat(run >= STUCK_RUN, run)
+    wrong, held = _states(change, v, low, high, vanishing)
     kind[held & ~setting] = STUCK
     kind[wrong] = IMPOSSIBLE
     fit = np.flatnonzero(~wrong & ~setting)
     if len(fit):
         src = source[fit]
         at = np.flatnonzero(np.r_[True, src[1:] != src[:-1], True]).tolist()
-        ts, xs, hs = t[fit].tolist(), v[fit].tolist(), held[fit].tolist()
+        ts, xs, hs = t[fit], v[fit], held[fit]
         spikes: list[int] = []
         for a, b in zip(at, at[1:], strict=False):
             if b - a > 3:
-                x = xs[a:b]
-                sigma = _scatter(x, hs[a:b])
+                if known is None:
+                    sigma, usual = _scatter(np.abs(np.diff(xs[a:b])), hs[a : b - 1] & hs[a + 1 : b]), _pause(ts[a:b])
+                else:
+                    sigma, usual = known[new][fit[a]]
                 if sigma > 0:
-                    spikes += [a + i for i in _filter(ts[a:b], x, sigma, threshold)]
+                    spikes += [a + i for i in _filter(ts[a:b].tolist(), xs[a:b].tolist(), sigma, usual, threshold)]
         hit = fit[spikes]
         kind[hit[kind[hit] == NONE]] = SPIKE
     return kind[of]
@@ -161,7 +207,8 @@ def faulty_readings(
 
     Sources are cut into blocks by the order of readings, whatever the time between them; blocks
     get the readings around them along, so no run is missed and no source is worked on as a
-    whole. The scatter is that of the block and the readings around it. Rows with a null row_id, stay_id, itemid, t or
+    whole. The scatter is that of the whole source, from counts of its steps by size: sources of one block are judged at once, the
+    blocks of others are written to the shared folder and judged once their counts are added up. Rows with a null row_id, stay_id, itemid, t or
     value are no cases; rows of items without bounds can't be impossible; repeated
     rows (same source, time and value) count once in a run and get the same kind; an
     empty table gives an empty table; further columns aren't looked at.
@@ -198,43 +245,100 @@ def faulty_readings(
         "row_id", "stay_id", "itemid", "t", "value", "b.block", "b.own"
     )
     keys = ["stay_id", "itemid", "block"]
-    sorted_ = cut.repartition(*keys).sortWithinPartitions(*keys, "t", "value")
 
-    def whole(table: pa.Table) -> pa.RecordBatch | None:
-        stay, item, block, t, v, own, ids = (
-            table[c].to_numpy() for c in ("stay_id", "itemid", "block", "t", "value", "own", "row_id")
-        )
-        source = np.cumsum(
-            np.r_[True, (stay[1:] != stay[:-1]) | (item[1:] != item[:-1]) | (block[1:] != block[:-1])]
-        )
+    def bounds_of(item: np.ndarray) -> np.ndarray:
         ids_of, at = np.unique(item, return_inverse=True)
-        bounds = np.array([known.get(int(i), (-np.inf, np.inf, False)) for i in ids_of], float).reshape(-1, 3)[at]
-        kind = flag_sources(source, t, v, bounds[:, 0], bounds[:, 1], bounds[:, 2] > 0, threshold, vanishing)
-        hit = np.flatnonzero((kind != NONE) & own)
+        return np.array([known.get(int(i), (-np.inf, np.inf, False)) for i in ids_of], float).reshape(-1, 3)[at]
+
+    def columns(table: pa.Table) -> tuple:
+        got = tuple(table[c].to_numpy() for c in ("stay_id", "itemid", "block", "t", "value", "own", "row_id"))
+        stay, item, block = got[:3]
+        return got, np.cumsum(np.r_[True, (stay[1:] != stay[:-1]) | (item[1:] != item[:-1]) | (block[1:] != block[:-1])])
+
+    def first(table: pa.Table) -> pa.RecordBatch:
+        """Flags of sources of one block; of others the readings, and the counts of steps and pauses."""
+        (stay, item, block, t, v, own, ids), source = columns(table)
+        bounds = bounds_of(item)
+        cut_up = np.bincount(source, (block > 0) | ~own)[source] > 0
+        one = np.flatnonzero(~cut_up)
+        kind = np.zeros(len(t), np.int8)
+        kind[one] = flag_sources(source[one], t[one], v[one], bounds[one, 0], bounds[one, 1], bounds[one, 2] > 0, threshold, vanishing)
+        rows = np.flatnonzero(cut_up | (kind != NONE))
+        counts, of = [], []
+        edges = np.flatnonzero(np.r_[True, source[1:] != source[:-1], True])
+        for a, b in zip(edges, edges[1:], strict=False):
+            if cut_up[a] and not bounds[a, 2]:
+                got = measure_block(t[a:b], v[a:b], own[a:b], bounds[a:b, 0], bounds[a:b, 1], vanishing)
+                counts += got
+                of += [a] * len(got)
+        at = np.r_[rows, np.array(of, np.int64)]
+        counted = np.r_[np.zeros(len(rows), bool), np.ones(len(of), bool)]
+        none = np.zeros((len(rows), 3), np.int64)
+        what, bins, n = np.vstack([none, np.array(counts, np.int64).reshape(-1, 3)]).T
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids[hit]), pa.array(KINDS[kind[hit]], pa.string())], names=["row_id", "kind"]
+            [
+                pa.array(ids[at], pa.int64()), pa.array(KINDS[kind[at]], pa.string()), pa.array(stay[at]), pa.array(item[at]), pa.array(block[at]), pa.array(t[at]),
+                pa.array(v[at]), pa.array(own[at]), pa.array(what, mask=~counted), pa.array(bins, mask=~counted), pa.array(n, mask=~counted),
+            ],
+            names=["row_id", "kind", "stay_id", "itemid", "block", "t", "value", "own", "what", "bin", "n"],
         )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # All up to the last change of source is complete.
-            n = batch.num_rows
-            last = [batch[c].to_numpy(zero_copy_only=False) for c in keys]
-            same = np.ones(n, bool)
-            for c in last:
-                same &= c == c[-1]
-            start = n - int(np.argmin(same[::-1])) if not same.all() else 0
-            if start == 0 and rest and all(rest[-1][c][-1].as_py() == batch[c][0].as_py() for c in keys):
-                rest.append(batch)
-                continue
-            rest.append(batch.slice(0, start))
-            if sum(b.num_rows for b in rest):
-                yield whole(pa.Table.from_batches(rest).combine_chunks())
-            rest = [batch.slice(start)]
-        if rest:
-            yield whole(pa.Table.from_batches(rest).combine_chunks())
-
-    return sorted_.mapInArrow(run, "row_id bigint, kind string")
+    def second(table: pa.Table) -> pa.RecordBatch:
+        """Flags of the own readings of blocks, with the scatter and the pause of the whole source."""
+        (_, item, _, t, v, own, ids), source = columns(table)
+        bounds = bounds_of(item)
+        whole = np.column_stack([table[c].to_numpy() for c in ("sigma", "usual")])
+        kind = flag_sources(source, t, v, bounds[:, 0], bounds[:, 1], bounds[:, 2] > 0, threshold, vanishing, np.nan_to_num(whole))
+        hit = np.flatnonzero((kind != NONE) & own)
+        return pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(KINDS[kind[hit]], pa.string())], names=["row_id", "kind"])
+
+    def by_source(f):  # noqa: ANN001, ANN202
+        """``f`` over whole blocks of sources, whatever the batches."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rest: list[pa.RecordBatch] = []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                # All up to the last change of source is complete.
+                n = batch.num_rows
+                same = np.ones(n, bool)
+                for c in keys:
+                    x = batch[c].to_numpy(zero_copy_only=False)
+                    same &= x == x[-1]
+                start = n - int(np.argmin(same[::-1])) if not same.all() else 0
+                if start == 0 and rest and all(rest[-1][c][-1].as_py() == batch[c][0].as_py() for c in keys):
+                    rest.append(batch)
+                    continue
+                rest.append(batch.slice(0, start))
+                if sum(b.num_rows for b in rest):
+                    yield f(pa.Table.from_batches(rest).combine_chunks())
+                rest = [batch.slice(start)]
+            if rest:
+                yield f(pa.Table.from_batches(rest).combine_chunks())
+
+        return run
+
+    seen = stored(
+        cut.repartition(*keys).sortWithinPartitions(*keys, "t", "value").mapInArrow(
+            by_source(first),
+            "row_id bigint, kind string, stay_id bigint, itemid bigint, block int, t bigint, value double, own boolean, what bigint, bin bigint, n bigint",
+        )
+    )
+    size = F.when(F.col("bin") == ZERO, 0.0).otherwise(F.pow(F.lit(2.0), (F.col("bin") + 0.5) / BINS))
+    counts = seen.where("what is not null").groupBy("stay_id", "itemid", "what", "bin").agg(F.sum("n").alias("n")).withColumn("size", size)
+    shares = lambda which, q: F.expr(f"percentile(case when {which} then size end, array({q}), n)")
+    total = lambda which: F.coalesce(F.sum(F.when(F.expr(which), F.col("n"))), F.lit(0))
+    per = counts.groupBy("stay_id", "itemid").agg(
+        shares("what = 0", "0.5D, 0.7D").alias("free"), total("what = 0").alias("n_free"), shares("what < 2", "0.5D, 0.7D").alias("all"), total("what < 2").alias("n_all"),
+        F.min(F.when((F.col("what") < 2) & (F.col("size") > 0), F.col("size"))).alias("least"), shares("what = 2", "0.5D")[0].alias("usual"),
+    )
+    few = F.col("n_free") < 3
+    q, n = F.when(few, F.col("all")).otherwise(F.col("free")), F.when(few, F.col("n_all")).otherwise(F.col("n_free"))
+    sigma = F.greatest(q[0] / 0.954, q[1] * 0.85 / 1.466, F.coalesce(F.col("least") * 0.3, F.lit(0.0))) * (1 + 2 / n)
+    sources = per.select("stay_id", "itemid", F.coalesce(sigma, F.lit(0.0)).alias("sigma"), F.coalesce("usual", F.lit(1.0)).alias("usual"))
+    pieces = seen.where("what is null and kind is null").drop("kind", "what", "bin", "n")
+    # A source of settings only has no counts.
+    judged = join_small(pieces, sources, ["stay_id", "itemid"], "left").na.fill({"sigma": 0.0, "usual": 1.0})
+    rest = judged.repartition(*keys).sortWithinPartitions(*keys, "t", "value").mapInArrow(by_source(second), "row_id bigint, kind string")
+    return seen.where("kind is not null").select("row_id", "kind").unionByName(rest)
