@@ -47,26 +47,22 @@ def _sizes(bins: np.ndarray) -> np.ndarray:
     return np.where(bins == ZERO, 0.0, 2.0 ** ((bins + 0.5) / BINS))
 
 
-def _scatter(steps: np.ndarray, held: np.ndarray) -> float:
-    """Usual scatter of a reading: from steps between readings that aren't stuck."""
-    sizes = _sizes(_bins(steps))
-    free = sizes[~held]
+def _scatter(sizes: list[float], held: list[bool]) -> float:
+    """Usual scatter of a reading: from the sizes of steps between readings that aren't stuck."""
+    free = sorted(s for s, h in zip(sizes, held, strict=True) if not h)
     if len(free) < 3:
-        free = sizes
-    if not len(free):
+        free = sorted(sizes)
+    if not free:
         return 0.0
-    moved = sizes[sizes > 0]
-    middle, high = np.quantile(free, [0.5, 0.7])
-    least = 0.3 * moved.min() if len(moved) else 0.0
+    least = 0.3 * min((s for s in sizes if s > 0), default=0.0)
     # Both quantiles as standard deviations of a reading; few steps tend to look calmer than the source is.
-    return max(middle / 0.954, 0.85 * high / 1.466, least) * (1 + 2 / len(free))
+    return max(_quantile(free, 0.5) / 0.954, 0.85 * _quantile(free, 0.7) / 1.466, least) * (1 + 2 / len(free))
 
 
-def _pause(t: np.ndarray) -> float:
+def _pause(sizes: list[float]) -> float:
     """The usual time between two readings."""
-    gaps = np.diff(t)
-    gaps = gaps[gaps > 0]
-    return float(np.median(_sizes(_bins(gaps.astype(float))))) if len(gaps) else 1.0
+    gaps = sorted(s for s in sizes if s > 0)
+    return _quantile(gaps, 0.5) if gaps else 1.0
 
 
 def _filter(t: list[int], x: list[float], sigma: float, usual: float, threshold: float) -> list[int]:
@@ -175,15 +171,18 @@ def flag_sources(
         src = source[fit]
         at = np.flatnonzero(np.r_[True, src[1:] != src[:-1], True]).tolist()
         ts, xs, hs = t[fit], v[fit], held[fit]
+        times, values = ts.tolist(), xs.tolist()
+        if known is None:
+            steps, pauses = (_sizes(_bins(np.abs(np.diff(x)).astype(float))).tolist() for x in (xs, ts))
+            both = (hs[1:] & hs[:-1]).tolist()
+        else:
+            whole = known[new][fit]
         spikes: list[int] = []
         for a, b in zip(at, at[1:], strict=False):
             if b - a > 3:
-                if known is None:
-                    sigma, usual = _scatter(np.abs(np.diff(xs[a:b])), hs[a : b - 1] & hs[a + 1 : b]), _pause(ts[a:b])
-                else:
-                    sigma, usual = known[new][fit[a]]
+                sigma, usual = (_scatter(steps[a : b - 1], both[a : b - 1]), _pause(pauses[a : b - 1])) if known is None else whole[a]
                 if sigma > 0:
-                    spikes += [a + i for i in _filter(ts[a:b].tolist(), xs[a:b].tolist(), sigma, usual, threshold)]
+                    spikes += [a + i for i in _filter(times[a:b], values[a:b], sigma, usual, threshold)]
         hit = fit[spikes]
         kind[hit[kind[hit] == NONE]] = SPIKE
     return kind[of]
