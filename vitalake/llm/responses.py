@@ -130,7 +130,7 @@ def _question(prompt: str) -> str:
     return "\n".join(x for x in prompt.split("\n") if not x.lstrip().startswith(("-", "*", "•")))
 
 
-#: What recent questions ask for.
+#: What recent questions, of 2,000 signs at most, ask for.
 _SEEN: dict[str, tuple[str | None, tuple[str, ...]]] = {}
 
 
@@ -145,6 +145,9 @@ def _asked(question: str) -> tuple[str | None, tuple[str, ...]]:
 def asked(prompt: str) -> tuple[str | None, tuple[str, ...]]:
     """Language of a prompt, and the labels of the lines that it asks for."""
     question = _question(prompt)
+    if len(question) > 2000:
+        got = _asked(question)
+        return got[0] or language(prompt), got[1]
     got = _SEEN.get(question)
     if got is None:
         if len(_SEEN) >= 4096:
