@@ -9,7 +9,7 @@ from vitalake.operators.ranks import blocked_rank
 
 
 def periods_and_gaps(
-    df: DataFrame, entity: str, start: str, end: str, block_seconds: int = 3_600
+    df: DataFrame, entity: str, start: str, end: str, block_seconds: int = 14_400
 ) -> DataFrame:
     """One row for each continuous period of an entity and each gap between two.
 
