@@ -100,7 +100,8 @@ def narrative(diagnoses: Column, drugs: Column, procedures: Column, style: str =
 
     def text(items: Column) -> Column:
         joined = F.concat_ws("; ", F.slice(F.array_distinct(items), 1, most))
-        return F.when(joined == "", "None recorded").otherwise(joined)
+        # In a lambda the list is put together once.
+        return F.get(F.transform(F.array(joined), lambda x: F.when(x == "", "None recorded").otherwise(x)), F.lit(0))
 
     d, m, p = text(diagnoses), text(drugs), text(procedures)
     if style == "paragraph":
